@@ -1,0 +1 @@
+"""A point-in-time analytics engine expressed as Spark plans."""
