@@ -135,15 +135,14 @@ def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     return met.join(final, "key").groupBy(*KEY).agg(F.collect_set("line").alias("lines"))
 
 
-def _cleaned(batch: pa.RecordBatch, text: str) -> tuple[list[str | None], list[int], list[int]]:
-    """Of each row: the remaining text, its lines before, and lines dropped."""
-    column, lost = batch.column(text), batch.column("_lines")
+def _cleaned(column: pa.Array, lost: pa.Array) -> tuple[list[str | None], list[int], list[int]]:
+    """Of each text: what remains of it, its lines before, and lines dropped."""
     out = column.to_pylist()
     n_lines = [x.count("\n") + 1 if x else 0 for x in out]
     n_dropped = [0] * len(out)
     at = np.flatnonzero(lost.is_valid().to_numpy(zero_copy_only=False))
     if len(at):
-        some = tk.text_column(batch, text).take(pa.array(at))
+        some = column.cast(pa.large_string()).take(pa.array(at))
         for g in tk.groups(some):
             x = Lines(g)
             bounds = np.searchsorted(x.doc, np.arange(len(g) + 1))
@@ -171,7 +170,7 @@ def line_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", d
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, n, gone = _cleaned(batch, "_text")
+            out, n, gone = _cleaned(batch.column("_text"), batch.column("_lines"))
             if digest:
                 out = [hashlib.sha256((x or "").encode()).hexdigest() for x in out]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n, type=pa.int64()), pa.array(gone, type=pa.int64()), pa.array(out, type=pa.string())], ["_id", "n_lines", "n_dropped", last])
@@ -183,13 +182,16 @@ def without_boilerplate(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     """The documents with recurring lines taken out of the text (and ``n_chars``, if there, counted anew); all rows and columns stay."""
     lost = dropped_lines(docs, doc_id=doc_id, text=text, **options)
     names = docs.columns
-    key = _row_key(F.col(doc_id), F.col(text))
-    wide = docs.withColumns({"_k": key[0], "_j": key[1]}).join(lost, KEY, "left").select(*names, F.col("lines").alias("_lines"))
+    # The whole row travels as one struct, so that no column of it can clash with the keys.
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *_row_key(F.col(doc_id), F.col(text)))
+    wide = wide.join(lost, KEY, "left").select("_row", F.col("lines").alias("_lines"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = pa.array(_cleaned(batch, text)[0], type=batch.schema.field(text).type)
-            yield pa.RecordBatch.from_arrays([out if c == text else batch.column(c) for c in names], names)
+            columns = batch.column("_row").flatten()
+            own = columns[names.index(text)]
+            columns[names.index(text)] = pa.array(_cleaned(own, batch.column("_lines"))[0], type=own.type)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     out = wide.mapInArrow(scan, docs.schema)
     if n_chars in names:

@@ -221,7 +221,7 @@ def _verified(n: int, threshold: tuple[int, int]):
 
 
 def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Rows of documents (_id, _k1, _k2, _any), and of distinct texts (_k1, _k2, copies, links, low: the class's smallest id)."""
+    """Rows of documents (_id, _k1, _k2, _any), and of distinct texts (_k1, _k2, copies, links, low: its smallest id, root: its class, class_low: that one's smallest id)."""
     bands, per = plan_bands(threshold[0] / threshold[1], recall)
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), *text_keys(F.col(text)), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     signed = checkpoint(rows.mapInArrow(_signed(n, bands, per), "_id long, _k1 long, _k2 long, _any boolean, _bands array<long>"))
@@ -246,7 +246,7 @@ def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     classes = texts.drop("_bands").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("links", F.coalesce("links", F.lit(0)))
     classes = checkpoint(classes)
     low = classes.groupBy("root").agg(F.min("low").alias("class_low"))
-    return signed.drop("_bands"), classes.join(low, "root").select("_k1", "_k2", "copies", "links", "low", F.col("class_low"))
+    return signed.drop("_bands"), classes.join(low, "root").select("_k1", "_k2", "copies", "links", "low", "root", "class_low")
 
 
 def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -259,9 +259,10 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents with one of each class, the one of the smallest id, all columns as they were; those without words stay."""
     rows, classes = jaccard_classes(docs, doc_id=doc_id, text=text, **options)
-    first = classes.filter(F.col("low").eqNullSafe(F.col("class_low"))).groupBy("class_low").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("k.*", F.col("class_low").alias("_low"))
-    k1, k2 = text_keys(F.col(text))
-    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
-    kept = keyed.join(first.withColumnsRenamed({"_k1": "_f1", "_k2": "_f2"}), (F.col("_k1") == F.col("_f1")) & (F.col("_k2") == F.col("_f2")) & F.col(doc_id).eqNullSafe(F.col("_low")), "left_semi").dropDuplicates(["_k1", "_k2"])
-    bare = keyed.filter(~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return kept.unionByName(bare).select(*docs.columns)
+    first = classes.filter(F.col("low").eqNullSafe(F.col("class_low"))).groupBy("root").agg(F.min(F.struct("_k1", "_k2", "class_low")).alias("k")).select("k._k1", "k._k2", F.col("k.class_low").alias("_low"))
+    # The whole row travels as one struct, so that no column of it can clash with the keys.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *text_keys(F.col(text)), F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("_any"))
+    wanted = first.select("_k1", "_k2", F.col("_low").alias("_id"), F.lit(True).alias("_first"))
+    same = [rows[c].eqNullSafe(wanted[c]) for c in ("_k1", "_k2", "_id")]
+    kept = rows.filter("_any").join(wanted, same, "left_semi").dropDuplicates(["_k1", "_k2", "_id"])
+    return kept.unionByName(rows.filter("not _any")).select("_row.*")
