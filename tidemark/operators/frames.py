@@ -43,7 +43,8 @@ def union_by_name(*frames: DataFrame) -> DataFrame:
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows without replacement, the same on every run: smallest seeded hashes of the whole row."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.to_json(F.struct("*"))), F.to_json(F.struct("*"))).limit(n)
+    row = F.to_json(F.struct(*df.columns))
+    return df.orderBy(F.xxhash64(F.lit(seed), row), row).limit(n)
 
 
 def top_k(df: DataFrame, by: Column | str, k: int, *ties: str) -> DataFrame:

@@ -47,6 +47,8 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, root: str, manifest: str | None = None):
         self.spark, self.root = spark, root.rstrip("/")
+        # Timestamps in nanoseconds are kept as they are, as long integers; the reader refuses them otherwise.
+        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
         self.index = json.loads(self._text(manifest))["panels"] if manifest else None
 
     def _text(self, path: str) -> str:
