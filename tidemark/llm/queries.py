@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, htmltext, langid, linededup, mixing, neardup, pii, quality, suffixdedup, urlfilter
+from . import decontam, htmltext, langid, linededup, mixing, neardup, oracles, pii, quality, suffixdedup, urlfilter
 from .common import table
 
 
@@ -52,4 +52,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_suffix_array_dedup, op2_quality_rules, op3_pii_skip_chain_crf, op4_source_mixing, op5_ngram_jaccard_join, op6_line_dedup, op7_html_extraction, op8_language_id, op9_winnowing_decontamination, op10_url_filter)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_suffix_array_dedup": oracles.OP1, "op5_ngram_jaccard_join": oracles.OP5, "op6_line_dedup": oracles.OP6, "op9_winnowing_decontamination": oracles.OP9}
