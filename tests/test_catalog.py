@@ -5,11 +5,15 @@ import pytest
 from tidemark.plans.checks import at_path, check_metrics, check_weights, json_contains, score
 from tidemark.plans.service import BadRequest, Service
 from tidemark.sources import catalog as C
+from tidemark.sources.accessors import Dataset
 from tidemark.sources.panels import EMPTY, SPECS
 
 D = dt.date
 
 
+PUT = ("news", "futures_minute", "corporate_actions", "sector_history", "futures_products", "futures_contracts", "futures_labels", "short_volume")
+
+
 @pytest.fixture(scope="module")
 def root(spark, tmp_path_factory):
     top = tmp_path_factory.mktemp("data")
@@ -31,8 +35,14 @@ def root(spark, tmp_path_factory):
     put("data/raw/massive/reference_tickers.parquet", [("AAPL", "Apple")], "ticker string, name string")
     put("data/structural/ticker_details.parquet", [("AAPL", "tech")], "ticker string, sector string")
     (top / "data/structural/universe_us.txt").write_text("AAPL\n\n MSFT \n")
-    (top / "reports").mkdir()
-    (top / "reports/dq.md").write_text("# fine\n")
+    (top / "data/reports").mkdir()
+    (top / "data/reports/dq.md").write_text("# fine\n")
+    put("data/structural/sector_history.parquet", [("AAPL", D(2010, 1, 1), "it"), ("AAPL", D(2020, 1, 1), "tech")], "ticker string, filed date, sector string")
+    put("data/structural/futures_products.parquet", [("ES", "2024-01-01", 1), ("ES", "2024-02-01", 2), ("NQ", "2024-01-15", 3)], "product_code string, date string, v int")
+    put("data/structural/futures_contracts.parquet", [("ESH4", "ES", "2024-01-01"), ("ESH4-ESM4", "ES", "2024-01-01")], "ticker string, product_code string, date string")
+    put("data/structural/futures_labels.parquet", [("ESH4", "2024-01-01", 0.1), ("ESH4", "2024-01-02", None)], "ticker string, session_end_date string, y_cc double")
+    put("data/structural/short_volume.parquet", [("2024-01-02", "AAPL", 5.0), ("2024-01-03", "AAPL", 6.0)], "date string, ticker string, total_volume double")
+    put("data/raw/massive/options_daily/2024-01-02.parquet", [("O:AAPL240621C00100000", D(2024, 1, 2), 5.0), ("O:AA240621C00100000", D(2024, 1, 2), 5.0)], "ticker string, date date, close double")
     return top
 
 
@@ -72,10 +82,26 @@ def test_access(cat):
     assert cat.access("futures_minute", "2024-01-07", "2024-01-07").count() == 1 and cat.access("futures_minute", is_front_day=True).count() == 1
     assert cat.access("corporate_actions", ticker="AAPL").count() == 1 and cat.access("corporate_actions", "2024-01-04", kind="split").first().value == 4.0
     for name in SPECS:
-        if name not in ("news", "futures_minute", "corporate_actions"):
+        if name not in PUT:
             assert cat.access(name).count() == 0 and cat.access(name).columns == [c.strip().split()[0] for c in EMPTY[name].split(",")]
 
 
+def test_named_readers(spark, root):
+    d = Dataset(spark, str(root))
+    assert [r.ret_1d for r in d.prices("AAPL", "2024-01-03", "2024-01-04").collect()] == [None, pytest.approx(102 / 101 - 1)]
+    assert [r.adv_3 is None for r in d.adv("AAPL", 3).collect()] == [True, True, False, False, False, False]
+    assert d.fundamentals("AAPL").count() == 1 and d.asof("AAPL", "2024-03-01").count() == 1 and d.calendar().count() == 1
+    assert d.sector_map("2015-06-01").first().sector == "it" and d.sector_map().first().sector == "tech"
+    assert d.splits("AAPL").first().factor == 4.0 and d.splits(["A", "AAPL"], end="2024-01-03").count() == 1 and d.dividends().first().value == 0.5
+    assert {r.product_code: r.v for r in d.futures_products(asof="2024-01-20").collect()} == {"ES": 1, "NQ": 3}
+    assert d.futures_contracts().count() == 1 and d.futures_contracts(roots="ES", singles_only=False).count() == 2
+    assert d.futures_labels(labeled_only=True).count() == 1 and d.futures_minute(front_only=True).count() == 1
+    assert d.short_volume("AAPL", knowable_by="2024-01-03").count() == 1 and d.options_chain("AAPL", "2024-01-02").count() == 1
+    for name in ("benchmark", "guidance", "holidays", "smile", "microstructure", "state_vector", "options_snapshots", "futures_schedules", "futures_sessions", "futures_meta", "futures_roll", "anchor_daily", "futures_anchor_map", "futures_anchors", "futures_vol", "futures_macro", "futures_news", "futures_ticks", "futures_micro", "etf_flows", "etf_constituents", "etf_profiles", "apex_constraints", "futures_state_vector", "short_interest"):
+        assert getattr(d, name)().count() == 0, name
+    assert d.options_greeks("AAPL", "2024-01-02").count() == 0 and d.state_vector(pca=True).count() == 0
+
+
 def test_manifest(spark, root):
     files = [f"data/raw/massive/stocks_daily/2024-01-0{k}.parquet" for k in (2, 3)]
     (root / "index.json").write_text(json.dumps({"panels": {"stocks_daily": {"kind": "partitioned", "files": files}}}))

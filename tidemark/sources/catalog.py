@@ -14,7 +14,7 @@ from ..operators import frames as R
 from .panels import EMPTY, SPECS
 
 # Fixed layout of a dataset: folders in the order of lookup.
-CANONICAL, STRUCTURAL, RAW, REPORTS = "data/canonical", "data/structural", "data/raw/massive", "reports"
+CANONICAL, STRUCTURAL, RAW, REPORTS = "data/canonical", "data/structural", "data/raw/massive", "data/reports"
 CRYPTO = {"T": "ticker", "t": "ts", "o": "open", "h": "high", "l": "low", "c": "close", "v": "volume", "vw": "vwap", "n": "trades"}
 NESTED = ("crypto_hourly", "crypto_minute")
 PARTITIONED = ("stocks_daily", "options_daily", "stocks_minute", "crypto_daily")
