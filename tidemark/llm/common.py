@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,16 +13,52 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Frees the shuffle files of a statement when it ends; what it wrote is complete by then.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """This session's folder where the whole cluster reads and writes, removed when Python exits.
+
+    It lies in ``spark.checkpoint.dir``; only where that is unset, as in tests on
+    one machine, a temporary folder takes its place.
+    """
+    context = spark.sparkContext
+    app = context.applicationId
+    if app not in _folders:
+        top = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
+        _folders[app] = f"{top.rstrip('/')}/tables-{app}"
+        atexit.register(_remove, spark, _folders[app])
+    return _folders[app]
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        pass
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the folder that the whole cluster shares.
+    """Cut the lineage: the rows as a Parquet table in the shared folder, read back.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset, as in
-    tests on one machine, a temporary folder takes its place.
+    Compressed and columnar, so smaller than a checkpoint of rows, and whatever
+    reads it needs no executor that helped to write it.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_keys(text: Column) -> list[Column]:
