@@ -46,7 +46,7 @@ GROUPS = (("article", "main"), ("section", "div", "td", "table", "tbody", "tr"),
 _GROUP = {tag: k for k, tags in enumerate(GROUPS) for tag in tags}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-NOISE, MAIN = 0, 1
+TOGETHER = 64
 
 
 class Page:
@@ -306,12 +306,18 @@ def fit_pages(pages: int = 500, seed: int = 77) -> gbt.Trees:
     return gbt.fit(np.concatenate(xs), np.concatenate(ys), trees=60, depth=4, rate=0.25, bins=32)
 
 
+def main_texts(sources: list[str | None], model: gbt.Trees) -> Iterator[str]:
+    """The main text of each page; the elements of some pages at a time are scored together."""
+    for lo in range(0, len(sources), TOGETHER):
+        pages = [Page(s or "") for s in sources[lo : lo + TOGETHER]]
+        x = [p.measure() for p in pages]
+        main = np.split(model.probability(np.concatenate(x)), np.cumsum([len(f) for f in x])[:-1])
+        for page, own in zip(pages, main):
+            yield page.text(page.decode(own))
+
+
 def main_text(source: str | None, model: gbt.Trees) -> str:
-    if not source:
-        return ""
-    page = Page(source)
-    x = page.measure()
-    return page.text(page.decode(model.probability(x)))
+    return next(main_texts([source], model))
 
 
 def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -320,7 +326,7 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(s.as_py(), model.value) for s in batch.column("_html")]
+            texts = list(main_texts(batch.column("_html").to_pylist(), model.value))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("url"), pa.array(texts, type=pa.string()), pa.array([len(t) for t in texts], type=pa.int64())], ["_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(page_id).alias("_id"), F.col(url).alias("url"), F.col(html).alias("_html"))
