@@ -90,7 +90,7 @@ class Series:
         """Sample skewness (G1)."""
         w = self.last(n)
         k = F.count(S.col(c)).over(w).cast("double")
-        return self._guard(c, n, max(least, 3), F.when(k > 2, F.sqrt(k * (k - 1)) / S.div(F.lit(1.0), S.div(F.lit(1.0), k - 2)) * F.skewness(S.col(c)).over(w)))
+        return self._guard(c, n, max(least, 3), S.div(F.sqrt(k * (k - 1)), k - 2) * F.skewness(S.col(c)).over(w))
 
     def kurt(self, c, n: int = 504, least: int = 120) -> Column:
         """Sample excess kurtosis (G2)."""

@@ -7,13 +7,11 @@ customers' orders for reported periods, their shipments for filings.
 
 from __future__ import annotations
 
-import math
 import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .functions import occ, pricing
 from .functions import scalar as S
@@ -531,7 +529,8 @@ def sector_exposure(spark, d):
 def decision_series(spark, d):
     """A series of monthly decisions of each book, from JSON records to a daily path."""
     days = monthly(spark, d).select("date").distinct().filter(F.month("date") % 6 == 0)
-    held = books(spark, d).filter("weight <= 0.2").groupBy("book").agg(F.collect_list(F.struct("ticker", "weight")).alias("target_holdings"))
+    rows = table(spark, d, "supplier").select((F.col("s_suppkey") % 2).cast("string").alias("book"), F.col("s_suppkey").cast("string").alias("ticker"))
+    held = rows.withColumn("weight", 1.0 / F.count(F.lit(1)).over(Series.of("book", "ticker").whole)).groupBy("book").agg(F.collect_list(F.struct("ticker", "weight")).alias("target_holdings"))
     stamp = lambda n: F.date_format(F.date_add("date", n), "yyyy-MM-dd'T'00:00:00'Z'")
     rows = held.crossJoin(F.broadcast(days)).withColumn("decision_id", F.row_number().over(Series.of("book", "date").window))
     record = F.struct(F.lit("1.0").alias("schema_version"), "decision_id", stamp(-2).alias("information_cutoff"), stamp(-1).alias("decision_time"), stamp(0).alias("execution_time"), F.lit("rebalance").alias("action"), "target_holdings")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import occ
-from ..functions import scalar as S
 from ..operators import frames as R
 from ..operators import pit
 from ..operators.rolling import Series
