@@ -135,7 +135,11 @@ def held_out(doc_id) -> F.Column:
 
 def fit_language(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     ids = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull() & ~held_out(F.col("_id")) & F.col("_id").isNotNull())
-    ranked = ids.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id"))).filter(F.col("_n") <= per_language)
+    # Twice the wanted share of each language by hash first, so that no task ranks a whole language.
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(SAMPLE).collect()
+    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 2 * per_language / r["n"]))]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
+    ids = ids.filter(F.shiftrightunsigned(F.xxhash64("_id"), 1) / F.lit(2.0**63) <= shares[F.col("lang")])
+    ranked = ids.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned(F.xxhash64("_id"), 1), "_id"))).filter(F.col("_n") <= per_language)
     chosen = ranked.orderBy("_n", "lang").limit(SAMPLE).select("_id", "lang").distinct()
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("lang"), F.col(text).alias("_text")).join(F.broadcast(chosen), ["_id", "lang"])
     counts = rows.select("lang", "_text").mapInArrow(_tallied, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
