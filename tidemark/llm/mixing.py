@@ -4,9 +4,9 @@ The mix takes as many words as the documents have. A source's target is its
 share by weight, at most ``repeat`` times its size, the excess reshared by weight
 (the level is found in closed form on one row per source). The words are dealt
 as blocks of ``block`` words: the highest quotients target / (2 seats + 1) win,
-first among sources, then among a source's shards. A shard holds about
-``shard`` words of one source, so a hot source becomes many shards and no window
-spans more than one shard. Inside a shard documents are ordered by a seeded hash
+first among sources, then among a source's shards. A source of n words has
+sqrt(n / SPREAD) shards, so that neither the documents of a shard nor the shards of
+a source outgrow a task; no window over documents spans more than one shard. Inside a shard documents are ordered by a seeded hash
 and its quota is taken from that order, going round again when it exceeds the
 shard.
 
@@ -26,7 +26,7 @@ from .common import WORD_PATTERN, checkpoint
 WEIGHTS = (5, 2, 1)
 REPEAT = 3
 BLOCK = 32
-SHARD = 4_000_000
+SPREAD = 2000
 SEED = 1729
 
 
@@ -76,7 +76,7 @@ def sainte_lague(votes: DataFrame, by: list, seats) -> DataFrame:
     return rows.join(won, same, "left").select(*votes.columns, (F.col("_sure") + F.coalesce("_won", F.lit(0))).alias("quota"))
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, repeat: int = REPEAT, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, repeat: int = REPEAT, block: int = BLOCK, spread: int = SPREAD, seed: int = SEED) -> DataFrame:
     """One row per document: id, size, source_size, target, taken."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     # Id and text together order the documents, so that rows without an id spread as well.
@@ -88,7 +88,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     dealt = goal.withColumn("votes", F.col("target")).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), F.encode("source", "utf-8")))).withColumn("_all", F.lit(0))
     words = F.sum("source_size").over(Window.partitionBy("_all"))
     by_source = sainte_lague(dealt.withColumn("_blocks", F.ceil(words / F.lit(block)).cast("long")), ["_all"], F.col("_blocks"))
-    by_source = checkpoint(by_source.select("source", "source_size", "target", "quota", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(shard))).cast("int").alias("shards")))
+    by_source = checkpoint(by_source.select("source", "source_size", "target", "quota", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("source_size") / F.lit(spread)))).cast("int").alias("shards")))
     quotas = by_source.select(F.col("source").alias("_s"), "source_size", "target", F.col("quota").alias("_blocks"), "shards")
     placed = rows.join(quotas, F.col("source").eqNullSafe(F.col("_s"))).withColumn("place", F.pmod("_draw", "shards").cast("int")).drop("_s", "shards")
     cells = placed.groupBy("source", "place").agg(F.sum("size").cast("double").alias("votes"), F.max("_blocks").alias("_blocks"))
