@@ -33,6 +33,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _folders[app]
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes this session's intermediate tables; for callers who have read their results and go on."""
+    folder = _folders.pop(spark.sparkContext.applicationId, None)
+    if folder is not None:
+        _remove(spark, folder)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``checkpoint`` made and that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._table_path)
+
+
 def _remove(spark: SparkSession, folder: str) -> None:
     try:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -58,7 +71,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
 
 
 def text_keys(text: Column) -> list[Column]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import checkpoint
+from .common import checkpoint, discard
 
 LEAD = 3
 SEGMENTS = 4
@@ -123,12 +123,16 @@ def _row_key(doc_id, text) -> list:
 def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, copy_share: float = COPY_SHARE) -> DataFrame:
     """Rows (_k, _j, lines): the keys of the lines that each row loses."""
     rows = docs.select(*_row_key(F.col(doc_id), F.col(text)), F.col(text).alias("_text")).filter("_text is not null")
-    lines = checkpoint(rows.mapInArrow(_parsed, ROWS))
-    leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf")
-    lines = checkpoint(lines.join(leaves, "leaf"))
+    parsed = checkpoint(rows.mapInArrow(_parsed, ROWS))
+    leaves = checkpoint(parsed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf"))
+    lines = checkpoint(parsed.join(leaves, "leaf"))
+    discard(parsed, leaves)
     member = lines.select(*KEY, "line", "tokens", "total", F.explode("keys").alias("key"))
-    recurring = lambda m: m.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("key")
-    met = checkpoint(member.join(recurring(member), "key"))
+    # Written before it is joined, so that a key with very many rows can be split in the join.
+    recurring = lambda m: checkpoint(m.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("key"))
+    hot = recurring(member)
+    met = checkpoint(member.join(hot, "key"))
+    discard(lines, hot)
     share = met.groupBy(*KEY, "line").agg(F.max("tokens").alias("tokens"), F.max("total").alias("total")).groupBy(*KEY).agg(F.sum("tokens").alias("inside"), F.max("total").alias("total"))
     copies = share.filter(F.col("inside") > F.col("total") * copy_share).select(*KEY)
     final = recurring(met.join(copies, KEY, "left_anti"))

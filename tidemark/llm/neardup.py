@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import blocks_for, checkpoint, text_keys
+from .common import blocks_for, checkpoint, discard, text_keys
 from .graph import components
 
 N = 5
@@ -228,8 +228,9 @@ def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     texts = signed.filter("_any").groupBy("_k1", "_k2").agg(F.min("_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("_bands").alias("_bands"))
     texts = checkpoint(texts.withColumn("node", F.xxhash64("_k1", "_k2")))
     bucket = texts.select("node", F.explode("_bands").alias("band"))
-    hub = bucket.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    hub = checkpoint(bucket.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"))
     groups = checkpoint(components(bucket.join(hub, "band").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+    discard(hub)
     # Blocks by rows and by bytes: sizes of groups are sums, so no group is gathered to be measured.
     # The text comes from the row of the class's smallest id, so that copies of one text don't meet in one task.
     chosen = texts.join(groups, "node").select("node", "copies", F.col("root").alias("comp"), F.coalesce("low", F.lit(-1)).alias("_low"))
@@ -241,10 +242,12 @@ def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     dealt = dealt.select("comp", F.least("block", "other").cast("int").alias("bi"), F.greatest("block", "other").cast("int").alias("bj"), "block", "node", "copies", "_text")
     checked = dealt.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj").mapInArrow(_verified(n, threshold), "node long, links long, root long")
     checked = checkpoint(checked)
+    discard(groups, sized)
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     classes = texts.drop("_bands").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("links", F.coalesce("links", F.lit(0)))
     classes = checkpoint(classes)
+    discard(texts, checked)
     low = classes.groupBy("root").agg(F.min("low").alias("class_low"))
     return signed.drop("_bands"), classes.join(low, "root").select("_k1", "_k2", "copies", "links", "low", "root", "class_low")
 

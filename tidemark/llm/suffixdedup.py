@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import checkpoint
+from .common import checkpoint, discard
 
 DEPTH = 200
 GRAM = 40
@@ -150,10 +150,14 @@ def _split(depth: int, piece: int):
 
 
 def _pass(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One digit: the rows found repeated as they are, and one of each stretch of text that needs a deeper digit."""
+    """One digit: the rows found repeated as they are, and one of each stretch of text that needs a deeper digit.
+
+    ``rows`` is a table of its own and is removed.
+    """
     # Written before it is joined, so that a digit with very many rows can be split in the join.
     shared = checkpoint(rows.groupBy("digit").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("c0"), F.max("content").alias("c1")).filter("n > 1").select("digit", (F.col("c0") == F.col("c1")).alias("same")))
     met = checkpoint(rows.join(shared, "digit"))
+    discard(rows, shared)
     mixed = met.filter("not same")
     contents = checkpoint(mixed.groupBy("digit", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, *PLACE)).alias("one")))
     again = mixed.join(contents.filter("n > 1").select("digit", "content"), ["digit", "content"], "left_semi")
