@@ -86,18 +86,35 @@ class Series:
         w = self.last(n)
         return self._guard(c, n, least, S.div(S.col(c) - F.avg(S.col(c)).over(w), F.stddev_samp(S.col(c)).over(w)))
 
+    def centred(self, c) -> Column:
+        """The distance from the group's mean; shape statistics of it are the same and lose no digits."""
+        return S.col(c) - F.avg(S.col(c)).over(self.whole)
+
+    def _moments(self, c, n: int) -> tuple[Column, Column, Column, Column]:
+        """Count and the second to fourth central moments of the last ``n`` rows.
+
+        Each is a difference of two running sums, so a row costs the same whatever
+        the window; a variance that is nothing beside the group's is NULL.
+        """
+        x = S.col(c)
+        old = self.window.rowsBetween(Window.unboundedPreceding, -n)
+        total = lambda v: F.coalesce(F.sum(v).over(self.so_far), F.lit(0.0)) - F.coalesce(F.sum(v).over(old), F.lit(0.0))
+        k = (F.count(x).over(self.so_far) - F.count(x).over(old)).cast("double")
+        e1, e2, e3, e4 = (S.div(total(v), k) for v in (x, x * x, x * x * x, x * x * x * x))
+        m2 = e2 - e1 * e1
+        m2 = F.when(m2 > 1e-10 * F.var_pop(x).over(self.whole), m2)
+        return k, m2, e3 - 3 * e1 * e2 + 2 * e1 * e1 * e1, e4 - 4 * e1 * e3 + 6 * e1 * e1 * e2 - 3 * e1 * e1 * e1 * e1
+
     def skew(self, c, n: int = 504, least: int = 120) -> Column:
-        """Sample skewness (G1)."""
-        w = self.last(n)
-        k = F.count(S.col(c)).over(w).cast("double")
-        return self._guard(c, n, max(least, 3), S.div(F.sqrt(k * (k - 1)), k - 2) * F.skewness(S.col(c)).over(w))
+        """Sample skewness (G1) of a value, best ``centred``."""
+        k, m2, m3, _ = self._moments(c, n)
+        return F.when(k >= max(least, 3), S.div(F.sqrt(k * (k - 1)), k - 2) * S.div(m3, F.pow(m2, F.lit(1.5))))
 
     def kurt(self, c, n: int = 504, least: int = 120) -> Column:
-        """Sample excess kurtosis (G2)."""
-        w = self.last(n)
-        k = F.count(S.col(c)).over(w).cast("double")
+        """Sample excess kurtosis (G2) of a value, best ``centred``."""
+        k, m2, _, m4 = self._moments(c, n)
         factor = S.div(k - 1, (k - 2) * (k - 3))
-        return self._guard(c, n, max(least, 4), factor * ((k + 1) * F.kurtosis(S.col(c)).over(w) + 6))
+        return F.when(k >= max(least, 4), factor * ((k + 1) * (S.div(m4, m2 * m2) - 3) + 6))
 
     def corr(self, a, b, n: int = 504, least: int = 120) -> Column:
         """Correlation over rows that have both; NULL where one doesn't vary."""

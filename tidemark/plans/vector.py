@@ -49,7 +49,8 @@ def valuation(days: DataFrame, weekly: DataFrame) -> DataFrame:
     rows = rows.withColumns({f"_l_{c}": S.ln(c) for c in RATIOS})
     rows = rows.withColumn("composite_valuation_gap", S.row_mean(*[DAILY.z(f"_l_{c}", 252, 60) for c in RATIOS]))
     gap = F.col("composite_valuation_gap")
-    rows = rows.withColumns({"valuation_kurtosis": DAILY.kurt(gap), "_skew": DAILY.skew(gap), "_lag": DAILY.lag(gap)})
+    rows = rows.withColumns({"_centred": DAILY.centred(gap), "_lag": DAILY.lag(gap)})
+    rows = rows.withColumns({"valuation_kurtosis": DAILY.kurt("_centred"), "_skew": DAILY.skew("_centred")})
     rows = rows.withColumns({"_rho": DAILY.corr(gap, "_lag")})
     expansion = gap + F.col("_skew") / 6 * (gap * gap - 1) + F.col("valuation_kurtosis") / 24 * (gap * gap * gap - 3 * gap)
     return rows.select(*KEY, "composite_valuation_gap", "valuation_kurtosis", expansion.alias("cornish_fisher_gap"), (-F.ln(S.clip("_rho", 1e-4, 0.9999)) * (252 / 21)).alias("mean_reversion_speed"), F.col("cur_mkt_cap").alias("mcap"))

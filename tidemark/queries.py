@@ -288,7 +288,8 @@ def rolling_z(spark, d):
 
 @query(f"WITH {PX} SELECT ticker, date, CASE WHEN count(close) OVER w >= 120 THEN round(skewness(close) OVER w, 6) END AS skew, CASE WHEN count(close) OVER w >= 120 THEN round(kurtosis(close) OVER w, 6) END AS kurt FROM px WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 503 PRECEDING)")
 def rolling_skew_kurt(spark, d):
-    return px(spark, d).select("ticker", "date", r6(DAILY.skew("close"), "skew"), r6(DAILY.kurt("close"), "kurt"))
+    rows = px(spark, d).withColumn("centred", DAILY.centred("close"))
+    return rows.select("ticker", "date", r6(DAILY.skew("centred"), "skew"), r6(DAILY.kurt("centred"), "kurt"))
 
 
 @query(f"WITH {PX}, l AS (SELECT ticker, date, close, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS before FROM px) SELECT ticker, date, CASE WHEN count(before) OVER w >= 120 THEN round(corr(close, before) OVER w, 6) END AS rho FROM l WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 503 PRECEDING)")
