@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from tidemark.queries import QUERIES
 
-HEADLINE = ("daily_return", "range_window_join", "knowable_date", "asof_backward", "rolling_z", "rolling_skew_kurt", "rank_pct_avg", "micro_daily", "smile_statistics", "implied_volatility", "kalman", "buy_hold_backtest", "rank_ic", "futures_labels", "state_vector")
+HEADLINE = ("daily_return", "range_window_join", "knowable_date", "asof_backward", "rolling_z", "rolling_skew_kurt", "rank_pct_avg", "micro_daily", "smile_statistics", "implied_volatility", "kalman", "buy_hold_backtest", "rank_ic", "futures_labels")
 
 
 def main() -> None:
