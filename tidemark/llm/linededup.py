@@ -16,8 +16,11 @@ counts are summed before the shuffle, so a line that a third of the documents
 share is as cheap as any; lines meet their verdict in joins whose one side has a
 row per template.
 
+Lines of fewer than ``LEAD`` tokens end on a shorter path and have the template of
+all their tokens only; ``shortest`` says from how many tokens on lines take part.
+
 Edge cases: null and empty texts have no lines; blank lines and lines of fewer
-than ``LEAD`` tokens are kept; a document whose lines all go has the empty text and
+than ``shortest`` tokens are kept; a document whose lines all go has the empty text and
 stays as a row; rows of equal id and text are separate voters but get one
 verdict; extra columns are ignored by ``line_dedup`` and kept by ``without_boilerplate``.
 """
@@ -49,7 +52,7 @@ _MARKS = np.random.default_rng(6).integers(1, 2**64, size=SEGMENTS + 1, dtype=np
 class Lines:
     """The lines of a group: document, byte range, tokens, leaf, and template keys (0: none)."""
 
-    def __init__(self, group: tk.Group):
+    def __init__(self, group: tk.Group, shortest: int = LEAD):
         spans = tk.words(group, _LINE)
         w = tk.words(group)
         h = tk.word_hashes(w)
@@ -77,18 +80,18 @@ class Lines:
         self.keys = np.stack([tk.mix(whole + _MARKS[0]), *(tk.mix(whole - sums[:, j] + _MARKS[j]) for j in range(1, SEGMENTS + 1))], axis=1)
         # A run may vary only if it has tokens and at least four others stay.
         self.keys[:, 1:][(sizes[:, 1:] == 0) | (self.tokens[:, None] - sizes[:, 1:] <= LEAD)] = 0
-        self.usable = self.tokens >= LEAD
+        self.usable = self.tokens >= shortest
 
 
 KEY = ["_k", "_j"]
 ROWS = "_k long, _j int, leaf long, line long, tokens int, total int, keys array<long>"
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch], shortest: int) -> Iterator[pa.RecordBatch]:
     """One row for each different line of a document; a key that two lines share is on the first only."""
     for batch in batches:
         for g in tk.groups(tk.text_column(batch, "_text")):
-            x = Lines(g)
+            x = Lines(g, shortest)
             total = np.bincount(x.doc, weights=x.tokens, minlength=len(g)).astype(np.int64)
             at = np.flatnonzero(x.usable)
             if not len(at):
@@ -120,10 +123,10 @@ def _row_key(doc_id, text) -> list:
     return [F.xxhash64(doc_id, text).alias("_k"), F.hash(text, doc_id).alias("_j")]
 
 
-def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, copy_share: float = COPY_SHARE) -> DataFrame:
+def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, copy_share: float = COPY_SHARE, shortest: int = LEAD) -> DataFrame:
     """Rows (_k, _j, lines): the keys of the lines that each row loses."""
     rows = docs.select(*_row_key(F.col(doc_id), F.col(text)), F.col(text).alias("_text")).filter("_text is not null")
-    parsed = checkpoint(rows.mapInArrow(_parsed, ROWS))
+    parsed = checkpoint(rows.mapInArrow(lambda batches: _parsed(batches, shortest), ROWS))
     leaves = checkpoint(parsed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf"))
     lines = checkpoint(parsed.join(leaves, "leaf"))
     discard(parsed, leaves)
@@ -139,7 +142,7 @@ def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     return met.join(final, "key").groupBy(*KEY).agg(F.collect_set("line").alias("lines"))
 
 
-def _cleaned(column: pa.Array, lost: pa.Array) -> tuple[list[str | None], list[int], list[int]]:
+def _cleaned(column: pa.Array, lost: pa.Array, shortest: int = LEAD) -> tuple[list[str | None], list[int], list[int]]:
     """Of each text: what remains of it, its lines before, and lines dropped."""
     out = column.to_pylist()
     n_lines = [x.count("\n") + 1 if x else 0 for x in out]
@@ -148,7 +151,7 @@ def _cleaned(column: pa.Array, lost: pa.Array) -> tuple[list[str | None], list[i
     if len(at):
         some = column.cast(pa.large_string()).take(pa.array(at))
         for g in tk.groups(some):
-            x = Lines(g)
+            x = Lines(g, shortest)
             bounds = np.searchsorted(x.doc, np.arange(len(g) + 1))
             for d in range(len(g)):
                 row = int(at[g.first + d])
@@ -165,16 +168,16 @@ def _cleaned(column: pa.Array, lost: pa.Array) -> tuple[list[str | None], list[i
     return out, n_lines, n_dropped
 
 
-def line_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", digest: bool = False, **options) -> DataFrame:
+def line_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", digest: bool = False, shortest: int = LEAD, **options) -> DataFrame:
     """One row per document: id, n_lines, n_dropped, and the remaining text (or, as ``digest``, its SHA-256; null texts as empty)."""
-    lost = dropped_lines(docs, doc_id=doc_id, text=text, **options)
+    lost = dropped_lines(docs, doc_id=doc_id, text=text, shortest=shortest, **options)
     rows = docs.select(F.col(doc_id).alias("_id"), *_row_key(F.col(doc_id), F.col(text)), F.col(text).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     last = "kept_sha256" if digest else "text"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, n, gone = _cleaned(batch.column("_text"), batch.column("_lines"))
+            out, n, gone = _cleaned(batch.column("_text"), batch.column("_lines"), shortest)
             if digest:
                 out = [hashlib.sha256((x or "").encode()).hexdigest() for x in out]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n, type=pa.int64()), pa.array(gone, type=pa.int64()), pa.array(out, type=pa.string())], ["_id", "n_lines", "n_dropped", last])
@@ -182,9 +185,9 @@ def line_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", d
     return rows.join(lost, KEY, "left").select("_id", "_text", F.col("lines").alias("_lines")).mapInArrow(scan, f"_id {kind}, n_lines long, n_dropped long, {last} string").withColumnRenamed("_id", doc_id)
 
 
-def without_boilerplate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
+def without_boilerplate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", shortest: int = LEAD, **options) -> DataFrame:
     """The documents with recurring lines taken out of the text (and ``n_chars``, if there, counted anew); all rows and columns stay."""
-    lost = dropped_lines(docs, doc_id=doc_id, text=text, **options)
+    lost = dropped_lines(docs, doc_id=doc_id, text=text, shortest=shortest, **options)
     names = docs.columns
     # The whole row travels as one struct, so that no column of it can clash with the keys.
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *_row_key(F.col(doc_id), F.col(text)))
@@ -194,7 +197,7 @@ def without_boilerplate(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
         for batch in batches:
             columns = batch.column("_row").flatten()
             own = columns[names.index(text)]
-            columns[names.index(text)] = pa.array(_cleaned(own, batch.column("_lines"))[0], type=own.type)
+            columns[names.index(text)] = pa.array(_cleaned(own, batch.column("_lines"), shortest)[0], type=own.type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
     out = wide.mapInArrow(scan, docs.schema)
