@@ -15,3 +15,10 @@ def own(k, n=40):
 def test_lines_of_one_and_two_words(spark):
     got = cleaned(spark, [f"Share this\n{own(k)}\n \nMore" + ("\nonly here" if k == 3 else "") for k in range(12)])
     assert got == {k: f"{own(k)}\n " + ("\nonly here" if k == 3 else "") for k in range(12)}
+
+
+def test_short_documents_with_one_notice(spark):
+    notice = own(30, 12)
+    copy = [f"{own(50)} {own(51)} copied\n{own(52)} {own(53)}\n{own(54)} tail{k}" for k in range(12)]
+    got = cleaned(spark, [f"{own(k, 28)}\n{notice}" for k in range(12)] + copy)
+    assert got == {k: own(k, 28) for k in range(12)} | {12 + k: copy[k] for k in range(12)}

@@ -9,7 +9,8 @@ least ``min_docs`` documents have it.
 A document with more than ``copy_share`` of its words in recurring lines is a copy
 of something rather than a text with boilerplate: such documents are left to
 near-duplicate removal and have no vote. Lines of the templates that recur among
-the others are dropped from every document, copies included.
+the others are dropped from every document, copies included. With ``by_class`` no
+document is without a vote: the documents of a near-duplicate class have one together.
 
 Leaves with fewer than ``min_docs`` lines are set aside first, by counts alone. All
 counts are summed before the shuffle, so a line that a third of the documents
@@ -35,8 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import neardup
 from . import textkit as tk
-from .common import checkpoint, discard
+from .common import checkpoint, discard, text_keys
 
 LEAD = 3
 SEGMENTS = 4
@@ -123,7 +125,16 @@ def _row_key(doc_id, text) -> list:
     return [F.xxhash64(doc_id, text).alias("_k"), F.hash(text, doc_id).alias("_j")]
 
 
-def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, copy_share: float = COPY_SHARE, shortest: int = LEAD) -> DataFrame:
+def _classes(docs: DataFrame, met: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Rows (_k, _j, class): the near-duplicate class of each row that holds recurring lines."""
+    rows = docs.select(F.col(text).alias("_text"), *_row_key(F.col(doc_id), F.col(text))).filter("_text is not null")
+    # Ids of their own, as those of documents may be missing or no numbers.
+    rows = checkpoint(rows.join(met.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "_text", *text_keys(F.col("_text")), F.monotonically_increasing_id().alias("_id")))
+    _, classes = neardup.jaccard_classes(rows.select("_id", "_text"), doc_id="_id", text="_text")
+    return rows.select(*KEY, "_k1", "_k2").distinct().join(classes.select("_k1", "_k2", F.col("root").alias("class")), ["_k1", "_k2"]).select(*KEY, "class")
+
+
+def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, copy_share: float = COPY_SHARE, shortest: int = LEAD, by_class: bool = False) -> DataFrame:
     """Rows (_k, _j, lines): the keys of the lines that each row loses."""
     rows = docs.select(*_row_key(F.col(doc_id), F.col(text)), F.col(text).alias("_text")).filter("_text is not null")
     parsed = checkpoint(rows.mapInArrow(lambda batches: _parsed(batches, shortest), ROWS))
@@ -136,6 +147,10 @@ def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     hot = recurring(member)
     met = checkpoint(member.join(hot, "key"))
     discard(lines, hot)
+    if by_class:
+        voters = met.select(*KEY, "key").join(_classes(docs, met, doc_id, text), KEY)
+        final = checkpoint(voters.groupBy("key").agg(F.countDistinct("class").alias("n")).filter(F.col("n") >= min_docs).select("key"))
+        return met.join(final, "key").groupBy(*KEY).agg(F.collect_set("line").alias("lines"))
     share = met.groupBy(*KEY, "line").agg(F.max("tokens").alias("tokens"), F.max("total").alias("total")).groupBy(*KEY).agg(F.sum("tokens").alias("inside"), F.max("total").alias("total"))
     copies = share.filter(F.col("inside") > F.col("total") * copy_share).select(*KEY)
     final = recurring(met.join(copies, KEY, "left_anti"))
