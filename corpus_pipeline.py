@@ -15,7 +15,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines whose template recurs across documents go; every document stays."""
-    return linededup.without_boilerplate(docs, shortest=1, by_class=True)
+    return linededup.without_boilerplate(docs, shortest=1, by_class=True, evidence=linededup.EVIDENCE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

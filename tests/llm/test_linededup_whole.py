@@ -22,3 +22,10 @@ def test_short_documents_with_one_notice(spark):
     copy = [f"{own(50)} {own(51)} copied\n{own(52)} {own(53)}\n{own(54)} tail{k}" for k in range(12)]
     got = cleaned(spark, [f"{own(k, 28)}\n{notice}" for k in range(12)] + copy)
     assert got == {k: own(k, 28) for k in range(12)} | {12 + k: copy[k] for k in range(12)}
+
+
+def test_long_lines_of_two_documents(spark):
+    passage, notice, table = own(30, 60), own(31, 12), " ".join(map(str, range(20)))
+    texts = [own(k) + (f"\n{passage}" if k < 2 else "") + (f"\n{notice}" if 1 < k < 5 else "") + ("\nA short line" if k < 9 else "") + (f"\n{table}" if k > 9 else "") for k in range(12)]
+    got = cleaned(spark, texts)
+    assert got == {k: own(k) + ("\nA short line" if k < 9 else "") + (f"\n{table}" if k > 9 else "") for k in range(12)}

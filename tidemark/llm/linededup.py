@@ -11,8 +11,10 @@ of something rather than a text with boilerplate: such documents are left to
 near-duplicate removal and have no vote. Lines of the templates that recur among
 the others are dropped from every document, copies included. With ``by_class`` no
 document is without a vote: the documents of a near-duplicate class have one together.
+With ``evidence`` the required number falls from ``min_docs`` as the template's fixed
+words (those without a digit, outside the variable run) grow, to two documents.
 
-Leaves with fewer than ``min_docs`` lines are set aside first, by counts alone. All
+Leaves with fewer lines than a template of theirs needs are set aside first, by counts alone. All
 counts are summed before the shuffle, so a line that a third of the documents
 share is as cheap as any; lines meet their verdict in joins whose one side has a
 row per template.
@@ -44,6 +46,8 @@ LEAD = 3
 SEGMENTS = 4
 MIN_DOCS = 10
 COPY_SHARE = 0.25
+#: Fixed words over all documents that show a template to recur: three words in MIN_DOCS documents, fifteen in two.
+EVIDENCE = LEAD * MIN_DOCS
 
 _LINE = ~tk.byte_class("0A")
 _DIGIT = tk.byte_class("30-39")
@@ -59,7 +63,8 @@ class Lines:
         w = tk.words(group)
         h = tk.word_hashes(w)
         digits = np.append(0, np.cumsum(_DIGIT[w.data]))
-        h[digits[w.ends] > digits[w.starts]] = _VARIABLE
+        variable = digits[w.ends] > digits[w.starts]
+        h[variable] = _VARIABLE
         self.doc, self.starts, self.ends = spans.doc, spans.starts, spans.ends
         first = np.searchsorted(w.starts, self.starts)
         self.tokens = np.searchsorted(w.starts, self.ends) - first
@@ -71,11 +76,16 @@ class Lines:
         part = np.where(place < LEAD, 0, 1 + (place - LEAD) * SEGMENTS // rest)
         sums = np.zeros((n, SEGMENTS + 1), dtype=np.uint64)
         sizes = np.zeros((n, SEGMENTS + 1), dtype=np.int64)
+        fixed = np.zeros((n, SEGMENTS + 1), dtype=np.int64)
         if len(h):
             code = line * (SEGMENTS + 1) + part
             cut = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
             sums.reshape(-1)[code[cut]] = np.add.reduceat(each, cut)
             sizes.reshape(-1)[code[cut]] = np.diff(np.append(cut, len(code)))
+            fixed.reshape(-1)[code[cut]] = np.add.reduceat((~variable).astype(np.int64), cut)
+        # The words that a template fixes, by key.
+        whole = fixed.sum(axis=1)
+        self.fixed = np.stack([whole, *(whole - fixed[:, j] for j in range(1, SEGMENTS + 1))], axis=1)
         count = self.tokens.astype(np.uint64)
         self.leaf = tk.mix(sums[:, 0] + count * np.uint64(0xC2B2AE3D27D4EB4F))
         whole = sums.sum(axis=1, dtype=np.uint64) + count * np.uint64(0xD6E8FEB86659FD93)
@@ -86,7 +96,7 @@ class Lines:
 
 
 KEY = ["_k", "_j"]
-ROWS = "_k long, _j int, leaf long, line long, tokens int, total int, keys array<long>"
+ROWS = "_k long, _j int, leaf long, line long, tokens int, total int, keys array<struct<key: long, fixed: int>>"
 
 
 def _parsed(batches: Iterator[pa.RecordBatch], shortest: int) -> Iterator[pa.RecordBatch]:
@@ -108,12 +118,13 @@ def _parsed(batches: Iterator[pa.RecordBatch], shortest: int) -> Iterator[pa.Rec
             group_of[order] = np.cumsum(new) - 1
             tokens = np.bincount(group_of, weights=x.tokens[at])[group_of[pick]].astype(np.int32)
             at, doc, keys = at[pick], doc[pick], keys[pick]
+            fixed = x.fixed[at].astype(np.int32)
             flat, owner = keys.ravel(), np.repeat(doc, keys.shape[1])
             order = np.lexsort((np.arange(len(flat)), flat, owner))
             once = np.zeros(len(flat), dtype=bool)
             once[order] = np.append(True, (owner[order][1:] != owner[order][:-1]) | (flat[order][1:] != flat[order][:-1]))
             once &= flat != 0
-            lists = tk.list_column(once.reshape(keys.shape).sum(axis=1), pa.array(tk.signed(flat[once])))
+            lists = tk.list_column(once.reshape(keys.shape).sum(axis=1), pa.StructArray.from_arrays([pa.array(tk.signed(flat[once])), pa.array(fixed.ravel()[once])], ["key", "fixed"]))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k).take(pa.array(doc + g.first)) for k in KEY), pa.array(tk.signed(x.leaf[at])), pa.array(tk.signed(keys[:, 0].copy())), pa.array(tokens), pa.array(total[doc].astype(np.int32)), lists],
                 [*KEY, "leaf", "line", "tokens", "total", "keys"],
@@ -134,22 +145,25 @@ def _classes(docs: DataFrame, met: DataFrame, doc_id: str, text: str) -> DataFra
     return rows.select(*KEY, "_k1", "_k2").distinct().join(classes.select("_k1", "_k2", F.col("root").alias("class")), ["_k1", "_k2"]).select(*KEY, "class")
 
 
-def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, copy_share: float = COPY_SHARE, shortest: int = LEAD, by_class: bool = False) -> DataFrame:
+def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, copy_share: float = COPY_SHARE, shortest: int = LEAD, by_class: bool = False, evidence: int | None = None) -> DataFrame:
     """Rows (_k, _j, lines): the keys of the lines that each row loses."""
     rows = docs.select(*_row_key(F.col(doc_id), F.col(text)), F.col(text).alias("_text")).filter("_text is not null")
+    # A template needs min_docs documents, or so many that together they repeat ``evidence`` fixed words.
+    needed = lambda fixed: F.lit(min_docs) if evidence is None else F.least(F.lit(min_docs), F.greatest(F.lit(2), F.coalesce(F.ceil(F.try_divide(F.lit(evidence), fixed)), F.lit(min_docs))))
     parsed = checkpoint(rows.mapInArrow(lambda batches: _parsed(batches, shortest), ROWS))
-    leaves = checkpoint(parsed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf"))
+    most = F.max(F.array_max(F.transform("keys", lambda k: k["fixed"])))
+    leaves = checkpoint(parsed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), most.alias("fixed")).filter(F.col("n") >= needed(F.col("fixed"))).select("leaf"))
     lines = checkpoint(parsed.join(leaves, "leaf"))
     discard(parsed, leaves)
-    member = lines.select(*KEY, "line", "tokens", "total", F.explode("keys").alias("key"))
+    member = lines.select(*KEY, "line", "tokens", "total", F.explode("keys").alias("k")).select(*KEY, "line", "tokens", "total", "k.key", "k.fixed")
     # Written before it is joined, so that a key with very many rows can be split in the join.
-    recurring = lambda m: checkpoint(m.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("key"))
+    recurring = lambda m: checkpoint(m.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("fixed").alias("fixed")).filter(F.col("n") >= needed(F.col("fixed"))).select("key"))
     hot = recurring(member)
     met = checkpoint(member.join(hot, "key"))
     discard(lines, hot)
     if by_class:
-        voters = met.select(*KEY, "key").join(_classes(docs, met, doc_id, text), KEY)
-        final = checkpoint(voters.groupBy("key").agg(F.countDistinct("class").alias("n")).filter(F.col("n") >= min_docs).select("key"))
+        voters = met.select(*KEY, "key", "fixed").join(_classes(docs, met, doc_id, text), KEY)
+        final = checkpoint(voters.groupBy("key").agg(F.countDistinct("class").alias("n"), F.max("fixed").alias("fixed")).filter(F.col("n") >= needed(F.col("fixed"))).select("key"))
         return met.join(final, "key").groupBy(*KEY).agg(F.collect_set("line").alias("lines"))
     share = met.groupBy(*KEY, "line").agg(F.max("tokens").alias("tokens"), F.max("total").alias("total")).groupBy(*KEY).agg(F.sum("tokens").alias("inside"), F.max("total").alias("total"))
     copies = share.filter(F.col("inside") > F.col("total") * copy_share).select(*KEY)
