@@ -529,7 +529,7 @@ def sector_exposure(spark, d):
 @query()
 def decision_series(spark, d):
     """A series of monthly decisions of each book, from JSON records to a daily path."""
-    days = monthly(spark, d).select("date").distinct().filter(F.month("date") % 6 == 0)
+    days = monthly(spark, d).select("date").distinct()
     rows = table(spark, d, "supplier").select((F.col("s_suppkey") % 2).cast("string").alias("book"), F.col("s_suppkey").cast("string").alias("ticker"))
     held = rows.withColumn("weight", 1.0 / F.count(F.lit(1)).over(Series.of("book", "ticker").whole)).groupBy("book").agg(F.collect_list(F.struct("ticker", "weight")).alias("target_holdings"))
     stamp = lambda n: F.date_format(F.date_add("date", n), "yyyy-MM-dd'T'00:00:00'Z'")
