@@ -441,7 +441,7 @@ def guidance_surprise(spark, d):
 
 def panels(spark, d) -> Callable[[str], DataFrame]:
     """All panels of the state vector from the star schema."""
-    bars = px(spark, d).withColumn("ticker", F.concat(F.lit("S"), F.col("ticker"))).filter(F.col("date") >= "1996-01-01")
+    bars = px(spark, d).withColumn("ticker", F.concat(F.lit("S"), F.col("ticker")))
     h = lambda c, m: (F.pmod(F.xxhash64(c, "ticker", "date"), F.lit(1000)) / 1000.0 * m)
     days = bars.select("date").distinct()
     smile_rows = bars.select("ticker", "date", F.col("close").alias("spot"), (0.2 + h(F.lit(1), 0.2)).alias("atm_iv_30d"), (0.2 + h(F.lit(2), 0.2)).alias("atm_iv_90d"), h(F.lit(3), 0.1).alias("skew_25d"), h(F.lit(4), 0.1).alias("rn_kurtosis"), h(F.lit(5), 0.1).alias("term_slope"), (h(F.lit(6), 40)).cast("int").alias("n_contracts"))
@@ -464,15 +464,19 @@ def panels(spark, d) -> Callable[[str], DataFrame]:
     return made.__getitem__
 
 
+#: Before the first day of any table.
+START = "1900-01-01"
+
+
 @query()
 def state_vector(spark, d):
     """The whole vector over every supplier and day."""
-    return vector.build(panels(spark, d), start="1996-01-01", audit=True)
+    return vector.build(panels(spark, d), start=START, audit=True)
 
 
 @query("SELECT 'leak' AS gate, CAST(0 AS BIGINT) AS failed")
 def leakage_gate(spark, d):
-    out = vector.leaks(vector.build(panels(spark, d), start="1996-01-01", audit=True))
+    out = vector.leaks(vector.build(panels(spark, d), start=START, audit=True))
     return out.agg(F.count(F.lit(1)).alias("failed")).select(F.lit("leak").alias("gate"), "failed")
 
 
