@@ -567,8 +567,8 @@ def pca_transform(spark, d):
 
 @query()
 def ridge_scores(spark, d):
-    rows = matrix(spark, d).withColumn("fwd", F.col("f0") * 0.5 - F.col("f3") * 0.2)
-    return model.dual_scores(rows, model.ridge_weights(rows, [f"f{i}" for i in range(8)])).select("ticker", r6("additive", "additive"), r6("route_energy", "route_energy"))
+    rows = matrix(spark, d, 64).withColumn("fwd", F.col("f0") * 0.5 - F.col("f3") * 0.2)
+    return model.dual_scores(rows, model.ridge_weights(rows, [f"f{i}" for i in range(64)])).select("ticker", r6("additive", "additive"), r6("route_energy", "route_energy"))
 
 
 # Futures and funds
