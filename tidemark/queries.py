@@ -490,6 +490,11 @@ def books(spark, d) -> DataFrame:
     return rows.withColumn("weight", 1.0 / F.count(F.lit(1)).over(Series.of("book", "ticker").whole))
 
 
+def daily(spark, d) -> DataFrame:
+    """Closes of each supplier and day, as the prices of a backtest."""
+    return px(spark, d).select(F.col("ticker").cast("string").alias("ticker"), "date", "close")
+
+
 def monthly(spark, d) -> DataFrame:
     """Month-end closes of each supplier, as the prices of a backtest; one calendar for all."""
     rows = px(spark, d).withColumn("month", F.last_day("date"))
@@ -519,7 +524,7 @@ def rebalance_backtest(spark, d):
 
 @query()
 def backtest_performance(spark, d):
-    paths = B.static_paths(books(spark, d), B.leg_returns(monthly(spark, d)), "monthly")
+    paths = B.static_paths(books(spark, d), B.leg_returns(daily(spark, d)), "monthly")
     return B.performance(paths)
 
 
@@ -541,7 +546,7 @@ def decision_series(spark, d):
     record = F.struct(F.lit("1.0").alias("schema_version"), "decision_id", stamp(-2).alias("information_cutoff"), stamp(-1).alias("decision_time"), stamp(0).alias("execution_time"), F.lit("rebalance").alias("action"), "target_holdings")
     series = rows.groupBy("book").agg(F.sort_array(F.collect_list(F.struct("decision_id", F.to_json(record).alias("j")))).alias("l")).select("book", F.concat(F.lit("["), F.array_join("l.j", ","), F.lit("]")).alias("records"))
     good, _ = B.decisions(series)
-    return B.series_paths(good, B.leg_returns(monthly(spark, d)))
+    return B.series_paths(good, B.leg_returns(daily(spark, d)))
 
 
 @query(f"WITH {RET}, f AS (SELECT ticker, date, ret, -ret + close / 1e4 AS feature, lead(close, 5) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS fwd FROM ret), k AS (SELECT date, rank() OVER (PARTITION BY date ORDER BY feature) + (count(*) OVER (PARTITION BY date, feature) - 1) / 2.0 AS a, rank() OVER (PARTITION BY date ORDER BY fwd) + (count(*) OVER (PARTITION BY date, fwd) - 1) / 2.0 AS b FROM f WHERE feature IS NOT NULL AND fwd IS NOT NULL) SELECT date, CAST(count(*) AS BIGINT) AS n, round(corr(a, b), 6) AS ic FROM k GROUP BY 1 HAVING count(*) >= 15")
