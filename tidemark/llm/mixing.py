@@ -3,7 +3,7 @@
 The mix takes as many words as the documents have. A source's target is its
 share by weight, at most ``repeat`` times its size, the excess reshared by weight
 (the level is found in closed form on one row per source). The words are dealt
-as blocks of ``block`` words: the highest quotients target / (2 seats + 1) win,
+as blocks of ``block`` words, to sources with a target under one block as single words: the highest quotients target / (2 seats + 1) win,
 first among sources, then among a source's shards. A source of n words has
 sqrt(n / SPREAD) shards, so that neither the documents of a shard nor the shards of
 a source outgrow a task; no window over documents spans more than one shard. Inside a shard documents are ordered by a seeded hash
@@ -84,16 +84,19 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     rows = checkpoint(docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("source"), size.alias("size"), draw.alias("_draw")))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = checkpoint(targets(sources, weights, repeat))
-    # Sources: all words as blocks; a last block that isn't full is dealt as well.
-    dealt = goal.withColumn("votes", F.col("target")).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), F.encode("source", "utf-8")))).withColumn("_all", F.lit(0))
-    words = F.sum("source_size").over(Window.partitionBy("_all"))
-    by_source = sainte_lague(dealt.withColumn("_blocks", F.ceil(words / F.lit(block)).cast("long")), ["_all"], F.col("_blocks"))
-    by_source = checkpoint(by_source.select("source", "source_size", "target", "quota", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("source_size") / F.lit(spread)))).cast("int").alias("shards")))
-    quotas = by_source.select(F.col("source").alias("_s"), "source_size", "target", F.col("quota").alias("_blocks"), "shards")
+    # Sources under one block share their words one by one, the others the rest as blocks; a last block that isn't full is dealt as well.
+    dealt = goal.withColumn("votes", F.col("target")).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), F.encode("source", "utf-8")))).withColumn("_few", F.coalesce(F.col("target") < block, F.lit(True)))
+    every = Window.partitionBy(F.lit(0))
+    few = F.coalesce(F.round(F.sum(F.when(F.col("_few"), F.col("target"))).over(every)), F.lit(0)).cast("long")
+    words = F.sum("source_size").over(every) - few
+    dealt = dealt.withColumn("unit", F.when(F.col("_few"), 1).otherwise(block)).withColumn("_blocks", F.when(F.col("_few"), few).otherwise(F.ceil(words / F.lit(block))).cast("long"))
+    by_source = sainte_lague(dealt, ["_few"], F.col("_blocks"))
+    by_source = checkpoint(by_source.select("source", "source_size", "target", "unit", "quota", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("source_size") / F.lit(spread)))).cast("int").alias("shards")))
+    quotas = by_source.select(F.col("source").alias("_s"), "source_size", "target", F.col("quota").alias("_blocks"), "unit", "shards")
     placed = rows.join(quotas, F.col("source").eqNullSafe(F.col("_s"))).withColumn("place", F.pmod("_draw", "shards").cast("int")).drop("_s", "shards")
-    cells = placed.groupBy("source", "place").agg(F.sum("size").cast("double").alias("votes"), F.max("_blocks").alias("_blocks"))
+    cells = placed.groupBy("source", "place").agg(F.sum("size").cast("double").alias("votes"), F.max("_blocks").alias("_blocks"), F.max("unit").alias("unit"))
     cells = checkpoint(sainte_lague(cells, ["source"], F.col("_blocks")))
-    cells = cells.select(F.col("source").alias("_s"), F.col("place").alias("_p"), F.col("votes").cast("long").alias("cell"), F.least(F.col("quota") * block, F.col("votes").cast("long") * repeat).alias("take"))
+    cells = cells.select(F.col("source").alias("_s"), F.col("place").alias("_p"), F.col("votes").cast("long").alias("cell"), F.least(F.col("quota") * F.col("unit"), F.col("votes").cast("long") * repeat).alias("take"))
     joined = placed.join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("place") == F.col("_p")))
     inside = Window.partitionBy("source", "place").orderBy(F.xxhash64("_draw"), "_id", "size")
     before = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
