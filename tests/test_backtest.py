@@ -126,8 +126,30 @@ def test_decision_lists(spark):
 
 def test_caps():
     w = B.cap_weights({"A": 10, "B": 1, "C": 1, "D": 1, "E": 1, "F": 1, "G": 1, "H": 1}, {"A": "x", "B": "x", "C": "y"})
-    assert sum(w.values()) == pytest.approx(1) and w["A"] <= 0.15 + 1e-9
-    assert sum(B.cap_weights({"A": 1, "B": 1}, {}).values()) == pytest.approx(1)
+    assert sum(w.values()) == pytest.approx(1) and w["A"] == pytest.approx(0.15) and w["B"] == pytest.approx(w["H"]) == pytest.approx(0.85 / 7)
+    assert B.cap_weights({"A": 1, "B": 3}, {}) == pytest.approx({"A": 0.5, "B": 0.5}) and B.cap_weights({}, {}) == {}
+    assert B.cap_weights({"A": 0, "B": 0}, {}) == pytest.approx({"A": 0.5, "B": 0.5})
+
+
+def test_caps_hold_in_any_book():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n = int(rng.integers(2, 25))
+        raw = {f"t{k}": float(x) for k, x in enumerate(rng.gamma(0.5, size=n) + 1e-6)}
+        sector = {t: f"s{rng.integers(0, 6)}" for t in raw if rng.random() < 0.8}
+        group = {t: sector.get(t, t) for t in raw}
+        room = sum(min(0.30, 0.15 * list(group.values()).count(g)) for g in set(group.values()))
+        w = B.cap_weights(raw, sector)
+        by = {g: sum(w[t] for t in raw if group[t] == g) for g in set(group.values())}
+        assert sum(w.values()) == pytest.approx(1)
+        if room < 1:  # the caps can't hold: all full, scaled up
+            assert by == pytest.approx({g: min(0.30, 0.15 * list(group.values()).count(g)) / room for g in by})
+            continue
+        assert max(w.values()) <= 0.15 + 1e-9 and max(by.values()) <= 0.30 + 1e-9
+        # Names that no cap holds keep their proportions, in a full sector among themselves, else in the whole book.
+        for g in [None, *by]:
+            free = [t for t in raw if w[t] < 0.15 - 1e-9 and ((by[group[t]] < 0.30 - 1e-9) if g is None else group[t] == g)]
+            assert np.ptp([w[t] / raw[t] for t in free] or [0.0]) < 1e-6 * max([w[t] / raw[t] for t in free] or [1.0])
 
 
 def test_replay_grid(spark):

@@ -33,10 +33,16 @@ def test_pca_ignores_the_holdout(spark):
         model.fit_pca(df.limit(50), names)
 
 
-def test_folds():
+def test_folds(spark):
     days = [d.date() for d in pd.bdate_range("2020-01-01", periods=500)]
-    folds = model.embargoed_folds(days)
-    assert folds and all((f["test_start"] - f["train_before"]).days == 21 and f["train_start"] < f["train_before"] for f in folds)
+    rows = spark.createDataFrame([(d,) for d in days + days[:7]] + [(None,)], "date date")
+    folds = model.embargoed_folds(rows).orderBy("fold").collect()
+    for k, f in enumerate(folds):
+        end = 500 - 71 * k
+        assert (f.fold, f.train_start, f.test_start, f.test_end) == (k, days[0], days[end - 71], days[end - 1]) and (f.test_start - f.train_before).days == 21
+    assert len(folds) == 5
+    assert [f.fold for f in model.embargoed_folds(rows.filter("date < '2020-04-01'")).orderBy("fold").collect()] == [0, 1]
+    assert model.embargoed_folds(rows.filter("date < '2020-02-01'")).count() == 0 and model.embargoed_folds(rows.filter("false")).count() == 0
 
 
 def test_scores(spark):

@@ -133,12 +133,8 @@ class Series:
         return F.max(S.col(c)).over(self.so_far)
 
     def running_product(self, c) -> Column:
-        """Product of 1 + c so far (NULL as 0): logarithms of the sizes, signs and zeros counted apart."""
-        f = 1 + F.coalesce(S.col(c), F.lit(0.0))
-        size = F.exp(F.sum(F.coalesce(S.ln(F.abs(f)), F.lit(0.0))).over(self.so_far))
-        negative = F.sum((f < 0).cast("int")).over(self.so_far)
-        none = F.max((f == 0).cast("int")).over(self.so_far) == 1
-        return F.when(none, 0.0).otherwise(size * F.when(negative % 2 == 1, -1.0).otherwise(1.0))
+        """Product of 1 + c so far, in order (NULL as 0); one multiplication a row."""
+        return F.product(1 + F.coalesce(S.col(c), F.lit(0.0))).over(self.so_far)
 
     def drawdown(self, curve) -> Column:
         return S.div(curve, self.running_max(curve)) - 1

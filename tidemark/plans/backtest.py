@@ -304,31 +304,38 @@ def decisions(records: DataFrame, column: str = "records", book: str = "book") -
 NAME_CAP, SECTOR_CAP = 0.15, 0.30
 
 
-def cap_weights(weights: dict[str, float], sectors: dict[str, str], name_cap: float = NAME_CAP, sector_cap: float = SECTOR_CAP, rounds: int = 30) -> dict[str, float]:
-    """Weights scaled to 1 under caps on names and sectors, freed weight going where there is room; if the caps can't hold, the sum wins.
-
-    A book has a handful of names, so this runs in one place.
+def cap_weights(weights: dict[str, float], sectors: dict[str, str], name_cap: float = NAME_CAP, sector_cap: float = SECTOR_CAP) -> dict[str, float]:
+    """Weights in proportion under caps on names and sectors, summing to 1; a name without a sector is one by itself.
+
+    Two nested water levels: a name holds its weight times its sector's level, at
+    most ``name_cap``; a sector's level is the book's, or the lower one at which
+    its names fill ``sector_cap``. The book's level is where all sums to 1. If the
+    caps leave less room than that, everything is full and scaled up. A book has a
+    handful of names, so this runs in one place.
     """
     names = sorted(weights)
-    w = pd.Series({n: float(weights[n]) for n in names}, dtype=float)
-    group = pd.Series({n: sectors.get(n) or n for n in names})
-    for _ in range(rounds):
-        w = w / (w.sum() or 1.0)
-        by_group = w.groupby(group).sum()
-        over_name, over_group = w > name_cap, by_group[by_group > sector_cap]
-        w = w.clip(upper=name_cap)
-        w = w * group.map(sector_cap / over_group).fillna(1.0)
-        spare = 1 - w.sum()
-        if spare <= 1e-12:
-            break
-        room = (name_cap - w).where(~group.isin(over_group.index) & (w < name_cap), 0.0)
-        if room.sum() <= 0:
-            w = w / w.sum()
-            break
-        w = w + spare * room / room.sum()
-        if not over_name.any() and over_group.empty:
-            break
-    return (w / w.sum()).to_dict()
+    raw = np.array([max(float(weights[n]), 0.0) for n in names])
+    if not raw.any():
+        raw = np.ones(len(names))
+    _, sector = np.unique([str(sectors.get(n) or n) for n in names], return_inverse=True)
+    held = np.zeros(len(names))
+    fill = lambda level, who: np.minimum(level * raw[who], name_cap)
+
+    def rise(total, target: float) -> float:
+        """The level at which a growing total meets its target, between none and all names full."""
+        low, high = 0.0, name_cap / raw[raw > 0].min()
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if total(middle) < target else (low, middle)
+        return high
+
+    inside = [np.flatnonzero(sector == k) for k in range(sector.max() + 1)] if names else []
+    whole = lambda level: sum(min(fill(level, who).sum(), sector_cap) for who in inside)
+    top = rise(whole, 1.0) if names else 0.0
+    for who in inside:
+        level = top if fill(top, who).sum() <= sector_cap else rise(lambda x, who=who: fill(x, who).sum(), sector_cap)
+        held[who] = fill(level, who)
+    return dict(zip(names, (held / held.sum()).tolist())) if names else {}
 
 
 def screen(vector: DataFrame, liquidity: DataFrame, cut, terms: dict[str, float], universe: DataFrame | None = None, excluded: DataFrame | None = None, *, lookback: int = 60, rows: int = 10, adv_min: float = 0.0, blackout: int = 0, momentum_floor: float = -1.0, size: int = 18) -> DataFrame:
