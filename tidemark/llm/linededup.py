@@ -3,29 +3,27 @@
 A line goes down a tree of fixed depth: its token count, then its first ``LEAD``
 tokens, with tokens that hold a digit read as variable. Below, the other tokens
 form SEGMENTS runs by position, and a line belongs to the templates of all its
-tokens and of all but one run (the variable field). A template recurs when at
-least ``min_docs`` documents have it.
+tokens and of all but one run (the variable field). Lines of up to ``LEAD`` tokens
+end on a shorter path and have the template of all their tokens only.
 
-A document with more than ``copy_share`` of its words in recurring lines is a copy
-of something rather than a text with boilerplate: such documents are left to
-near-duplicate removal and have no vote. Lines of the templates that recur among
-the others are dropped from every document, copies included. With ``by_class`` no
-document is without a vote: the documents of a near-duplicate class have one together.
-With ``evidence`` the required number falls from ``min_docs`` as the template's fixed
-words (those without a digit, outside the variable run) grow, to two documents.
+A template recurs when enough texts have it: ``min_docs``, or fewer, down to two,
+where so many already repeat ``evidence`` of its fixed words (those without a digit,
+outside the variable run) between them. Documents are counted first; then those
+that hold such a template get their near-duplicate class (five-word runs, 0.8), and
+a class counts once, so that copies don't make each other boilerplate: those are
+left to near-duplicate removal. Every line of a template that still recurs goes, from every
+document, copies included.
 
 Leaves with fewer lines than a template of theirs needs are set aside first, by counts alone. All
 counts are summed before the shuffle, so a line that a third of the documents
 share is as cheap as any; lines meet their verdict in joins whose one side has a
 row per template.
 
-Lines of fewer than ``LEAD`` tokens end on a shorter path and have the template of
-all their tokens only; ``shortest`` says from how many tokens on lines take part.
-
-Edge cases: null and empty texts have no lines; blank lines and lines of fewer
-than ``shortest`` tokens are kept; a document whose lines all go has the empty text and
-stays as a row; rows of equal id and text are separate voters but get one
-verdict; extra columns are ignored by ``line_dedup`` and kept by ``without_boilerplate``.
+Edge cases: null and empty texts and empty tables have no lines; blank lines are kept; a
+document whose lines all go has the empty text and stays as a row; rows of equal
+id and text get one verdict, and count as two documents but as one class; ids may
+be null, repeat or be of any type; a count equal to the required one is enough; extra columns are ignored by
+``line_dedup`` and kept by ``without_boilerplate``.
 """
 
 from __future__ import annotations
@@ -45,8 +43,7 @@ from .common import checkpoint, discard, text_keys
 LEAD = 3
 SEGMENTS = 4
 MIN_DOCS = 10
-COPY_SHARE = 0.25
-#: Fixed words over all documents that show a template to recur: three words in MIN_DOCS documents, fifteen in two.
+#: Fixed words over all texts that show a template to recur: three words in MIN_DOCS documents, fifteen in two.
 EVIDENCE = LEAD * MIN_DOCS
 
 _LINE = ~tk.byte_class("0A")
@@ -58,7 +55,7 @@ _MARKS = np.random.default_rng(6).integers(1, 2**64, size=SEGMENTS + 1, dtype=np
 class Lines:
     """The lines of a group: document, byte range, tokens, leaf, and template keys (0: none)."""
 
-    def __init__(self, group: tk.Group, shortest: int = LEAD):
+    def __init__(self, group: tk.Group):
         spans = tk.words(group, _LINE)
         w = tk.words(group)
         h = tk.word_hashes(w)
@@ -92,43 +89,36 @@ class Lines:
         self.keys = np.stack([tk.mix(whole + _MARKS[0]), *(tk.mix(whole - sums[:, j] + _MARKS[j]) for j in range(1, SEGMENTS + 1))], axis=1)
         # A run may vary only if it has tokens and at least four others stay.
         self.keys[:, 1:][(sizes[:, 1:] == 0) | (self.tokens[:, None] - sizes[:, 1:] <= LEAD)] = 0
-        self.usable = self.tokens >= shortest
+        self.usable = self.tokens > 0
 
 
 KEY = ["_k", "_j"]
-ROWS = "_k long, _j int, leaf long, line long, tokens int, total int, keys array<struct<key: long, fixed: int>>"
+ROWS = "_k long, _j int, leaf long, line long, keys array<struct<key: long, fixed: int, once: int>>"
+
+
+def _first_of(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which places are the first of their (owner, value)."""
+    order = np.lexsort((np.arange(len(value)), value, owner))
+    first = np.zeros(len(value), dtype=bool)
+    first[order] = np.append(True, (owner[order][1:] != owner[order][:-1]) | (value[order][1:] != value[order][:-1]))[: len(value)]
+    return first
 
 
-def _parsed(batches: Iterator[pa.RecordBatch], shortest: int) -> Iterator[pa.RecordBatch]:
-    """One row for each different line of a document; a key that two lines share is on the first only."""
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each different line of a document, with all its keys; ``once`` is 1 on a key's first line there."""
     for batch in batches:
         for g in tk.groups(tk.text_column(batch, "_text")):
-            x = Lines(g, shortest)
-            total = np.bincount(x.doc, weights=x.tokens, minlength=len(g)).astype(np.int64)
+            x = Lines(g)
             at = np.flatnonzero(x.usable)
             if not len(at):
                 continue
-            doc, keys = x.doc[at], x.keys[at]
-            order = np.lexsort((np.arange(len(at)), keys[:, 0], doc))
-            new = np.ones(len(at), dtype=bool)
-            new[1:] = (doc[order][1:] != doc[order][:-1]) | (keys[order, 0][1:] != keys[order, 0][:-1])
-            pick = np.sort(order[new])
-            # A line that occurs again counts with all its tokens.
-            group_of = np.empty(len(at), dtype=np.int64)
-            group_of[order] = np.cumsum(new) - 1
-            tokens = np.bincount(group_of, weights=x.tokens[at])[group_of[pick]].astype(np.int32)
-            at, doc, keys = at[pick], doc[pick], keys[pick]
-            fixed = x.fixed[at].astype(np.int32)
-            flat, owner = keys.ravel(), np.repeat(doc, keys.shape[1])
-            order = np.lexsort((np.arange(len(flat)), flat, owner))
-            once = np.zeros(len(flat), dtype=bool)
-            once[order] = np.append(True, (owner[order][1:] != owner[order][:-1]) | (flat[order][1:] != flat[order][:-1]))
-            once &= flat != 0
-            lists = tk.list_column(once.reshape(keys.shape).sum(axis=1), pa.StructArray.from_arrays([pa.array(tk.signed(flat[once])), pa.array(fixed.ravel()[once])], ["key", "fixed"]))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k).take(pa.array(doc + g.first)) for k in KEY), pa.array(tk.signed(x.leaf[at])), pa.array(tk.signed(keys[:, 0].copy())), pa.array(tokens), pa.array(total[doc].astype(np.int32)), lists],
-                [*KEY, "leaf", "line", "tokens", "total", "keys"],
-            )
+            at = at[_first_of(x.doc[at], x.keys[at, 0])]
+            doc, keys, fixed = x.doc[at], x.keys[at], x.fixed[at].astype(np.int32)
+            there = keys.ravel() != 0
+            flat, owner = keys.ravel()[there], np.repeat(doc, keys.shape[1])[there]
+            once = _first_of(owner, flat).astype(np.int32)
+            lists = tk.list_column((keys != 0).sum(axis=1), pa.StructArray.from_arrays([pa.array(tk.signed(flat)), pa.array(fixed.ravel()[there]), pa.array(once)], ["key", "fixed", "once"]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(doc + g.first)) for k in KEY), pa.array(tk.signed(x.leaf[at])), pa.array(tk.signed(keys[:, 0].copy())), lists], [*KEY, "leaf", "line", "keys"])
 
 
 def _row_key(doc_id, text) -> list:
@@ -145,33 +135,25 @@ def _classes(docs: DataFrame, met: DataFrame, doc_id: str, text: str) -> DataFra
     return rows.select(*KEY, "_k1", "_k2").distinct().join(classes.select("_k1", "_k2", F.col("root").alias("class")), ["_k1", "_k2"]).select(*KEY, "class")
 
 
-def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, copy_share: float = COPY_SHARE, shortest: int = LEAD, by_class: bool = False, evidence: int | None = None) -> DataFrame:
+def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, evidence: int = EVIDENCE) -> DataFrame:
     """Rows (_k, _j, lines): the keys of the lines that each row loses."""
     rows = docs.select(*_row_key(F.col(doc_id), F.col(text)), F.col(text).alias("_text")).filter("_text is not null")
-    # A template needs min_docs documents, or so many that together they repeat ``evidence`` fixed words.
-    needed = lambda fixed: F.lit(min_docs) if evidence is None else F.least(F.lit(min_docs), F.greatest(F.lit(2), F.coalesce(F.ceil(F.try_divide(F.lit(evidence), fixed)), F.lit(min_docs))))
-    parsed = checkpoint(rows.mapInArrow(lambda batches: _parsed(batches, shortest), ROWS))
+    needed = F.least(F.lit(min_docs), F.greatest(F.lit(2), F.coalesce(F.ceil(F.try_divide(F.lit(evidence), F.col("fixed"))), F.lit(min_docs))))
+    parsed = checkpoint(rows.mapInArrow(_parsed, ROWS))
     most = F.max(F.array_max(F.transform("keys", lambda k: k["fixed"])))
-    leaves = checkpoint(parsed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), most.alias("fixed")).filter(F.col("n") >= needed(F.col("fixed"))).select("leaf"))
-    lines = checkpoint(parsed.join(leaves, "leaf"))
+    leaves = checkpoint(parsed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), most.alias("fixed")).filter(F.col("n") >= needed).select("leaf"))
+    lines = checkpoint(parsed.join(leaves, "leaf").select(*KEY, "line", F.explode("keys").alias("k")).select(*KEY, "line", "k.*"))
     discard(parsed, leaves)
-    member = lines.select(*KEY, "line", "tokens", "total", F.explode("keys").alias("k")).select(*KEY, "line", "tokens", "total", "k.key", "k.fixed")
-    # Written before it is joined, so that a key with very many rows can be split in the join.
-    recurring = lambda m: checkpoint(m.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("fixed").alias("fixed")).filter(F.col("n") >= needed(F.col("fixed"))).select("key"))
-    hot = recurring(member)
-    met = checkpoint(member.join(hot, "key"))
+    # Written before they are joined, so that a key with very many rows can be split in the join.
+    hot = checkpoint(lines.groupBy("key").agg(F.sum("once").alias("n"), F.max("fixed").alias("fixed")).filter(F.col("n") >= needed).select("key"))
+    met = checkpoint(lines.join(hot, "key").select(*KEY, "line", "key", "fixed"))
     discard(lines, hot)
-    if by_class:
-        voters = met.select(*KEY, "key", "fixed").join(_classes(docs, met, doc_id, text), KEY)
-        final = checkpoint(voters.groupBy("key").agg(F.countDistinct("class").alias("n"), F.max("fixed").alias("fixed")).filter(F.col("n") >= needed(F.col("fixed"))).select("key"))
-        return met.join(final, "key").groupBy(*KEY).agg(F.collect_set("line").alias("lines"))
-    share = met.groupBy(*KEY, "line").agg(F.max("tokens").alias("tokens"), F.max("total").alias("total")).groupBy(*KEY).agg(F.sum("tokens").alias("inside"), F.max("total").alias("total"))
-    copies = share.filter(F.col("inside") > F.col("total") * copy_share).select(*KEY)
-    final = recurring(met.join(copies, KEY, "left_anti"))
+    votes = met.select(*KEY, "key", "fixed").join(_classes(docs, met, doc_id, text), KEY)
+    final = checkpoint(votes.groupBy("key").agg(F.countDistinct("class").alias("n"), F.max("fixed").alias("fixed")).filter(F.col("n") >= needed).select("key"))
     return met.join(final, "key").groupBy(*KEY).agg(F.collect_set("line").alias("lines"))
 
 
-def _cleaned(column: pa.Array, lost: pa.Array, shortest: int = LEAD) -> tuple[list[str | None], list[int], list[int]]:
+def _cleaned(column: pa.Array, lost: pa.Array) -> tuple[list[str | None], list[int], list[int]]:
     """Of each text: what remains of it, its lines before, and lines dropped."""
     out = column.to_pylist()
     n_lines = [x.count("\n") + 1 if x else 0 for x in out]
@@ -180,7 +162,7 @@ def _cleaned(column: pa.Array, lost: pa.Array, shortest: int = LEAD) -> tuple[li
     if len(at):
         some = column.cast(pa.large_string()).take(pa.array(at))
         for g in tk.groups(some):
-            x = Lines(g, shortest)
+            x = Lines(g)
             bounds = np.searchsorted(x.doc, np.arange(len(g) + 1))
             for d in range(len(g)):
                 row = int(at[g.first + d])
@@ -197,16 +179,16 @@ def _cleaned(column: pa.Array, lost: pa.Array, shortest: int = LEAD) -> tuple[li
     return out, n_lines, n_dropped
 
 
-def line_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", digest: bool = False, shortest: int = LEAD, **options) -> DataFrame:
+def line_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", digest: bool = False, **options) -> DataFrame:
     """One row per document: id, n_lines, n_dropped, and the remaining text (or, as ``digest``, its SHA-256; null texts as empty)."""
-    lost = dropped_lines(docs, doc_id=doc_id, text=text, shortest=shortest, **options)
+    lost = dropped_lines(docs, doc_id=doc_id, text=text, **options)
     rows = docs.select(F.col(doc_id).alias("_id"), *_row_key(F.col(doc_id), F.col(text)), F.col(text).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     last = "kept_sha256" if digest else "text"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, n, gone = _cleaned(batch.column("_text"), batch.column("_lines"), shortest)
+            out, n, gone = _cleaned(batch.column("_text"), batch.column("_lines"))
             if digest:
                 out = [hashlib.sha256((x or "").encode()).hexdigest() for x in out]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n, type=pa.int64()), pa.array(gone, type=pa.int64()), pa.array(out, type=pa.string())], ["_id", "n_lines", "n_dropped", last])
@@ -214,9 +196,9 @@ def line_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", d
     return rows.join(lost, KEY, "left").select("_id", "_text", F.col("lines").alias("_lines")).mapInArrow(scan, f"_id {kind}, n_lines long, n_dropped long, {last} string").withColumnRenamed("_id", doc_id)
 
 
-def without_boilerplate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", shortest: int = LEAD, **options) -> DataFrame:
+def without_boilerplate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
     """The documents with recurring lines taken out of the text (and ``n_chars``, if there, counted anew); all rows and columns stay."""
-    lost = dropped_lines(docs, doc_id=doc_id, text=text, shortest=shortest, **options)
+    lost = dropped_lines(docs, doc_id=doc_id, text=text, **options)
     names = docs.columns
     # The whole row travels as one struct, so that no column of it can clash with the keys.
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *_row_key(F.col(doc_id), F.col(text)))
@@ -226,7 +208,7 @@ def without_boilerplate(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
         for batch in batches:
             columns = batch.column("_row").flatten()
             own = columns[names.index(text)]
-            columns[names.index(text)] = pa.array(_cleaned(own, batch.column("_lines"), shortest)[0], type=own.type)
+            columns[names.index(text)] = pa.array(_cleaned(own, batch.column("_lines"))[0], type=own.type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
     out = wide.mapInArrow(scan, docs.schema)

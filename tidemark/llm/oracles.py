@@ -19,27 +19,34 @@ k AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY
 j AS (SELECT n.doc_id, n.n, count(k.lo) AS spans, coalesce(sum(hi - lo), 0) AS removed, coalesce(string_agg(hex(b[before + 1 : lo]), '' ORDER BY lo), '') || hex(any_value(b[coalesce(last_hi, 0) + 1 : n])) AS rest FROM n LEFT JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, max(hi) AS last_hi FROM p GROUP BY 1) USING (doc_id) GROUP BY 1, 2)
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(removed AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM j"""
 
-OP5 = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+def _near(source: str) -> str:
+    """Common tables of the near-duplicate classes among the rows of ``source`` (doc_id, text): m (doc_id, class_id), e (x, y: links both ways)."""
+    return f"""nw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM {source}),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM nw WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 5 * c >= 4 * (a.n + b.n - c)),
 e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
-r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b),
-m AS (SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY 1)
+r AS (SELECT doc_id AS a, doc_id AS b FROM nw UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b),
+m AS (SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY 1)"""
+
+
+OP5 = f"""WITH RECURSIVE {_near('documents')}
 SELECT doc_id, class_id, CAST((SELECT count(*) FROM e WHERE e.x = m.doc_id) AS BIGINT) AS n_links FROM m"""
 
-OP6 = f"""WITH d AS (SELECT doc_id, text, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
+_NEEDED = "least(10, greatest(2, CASE WHEN any_value(fixed) = 0 THEN 10 ELSE ceil(30 / any_value(fixed)) END))"
+
+OP6 = f"""WITH RECURSIVE d AS (SELECT doc_id, text, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
 u AS (SELECT doc_id, unnest(ls) AS ln, unnest(range(len(ls))) AS i FROM d),
-t AS (SELECT *, list_transform(regexp_extract_all(ln, {_WORDS}), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM u),
-k AS (SELECT doc_id, i, len(w) AS n, j, w, CASE WHEN j = 0 THEN w ELSE list_transform(w, lambda x, p: CASE WHEN p > 3 AND (p - 4) * 4 // greatest(len(w) - 3, 1) = j - 1 THEN '?' ELSE x END) END AS m, list_sum(list_transform(range(3, len(w)), lambda p: CASE WHEN (p - 3) * 4 // greatest(len(w) - 3, 1) = j - 1 THEN 1 ELSE 0 END)) AS free FROM t, (SELECT unnest(range(5)) AS j) WHERE len(w) >= 3),
-q AS (SELECT doc_id, i, n, j || ':' || n || ':' || array_to_string(m, chr(31)) AS key FROM k WHERE j = 0 OR (free > 0 AND n - free > 3)),
-hot AS (SELECT key FROM q GROUP BY 1 HAVING count(DISTINCT doc_id) >= 10),
-inside AS (SELECT doc_id, sum(n) AS n FROM (SELECT DISTINCT doc_id, i, n FROM q JOIN hot USING (key)) GROUP BY 1),
-total AS (SELECT doc_id, sum(len(w)) AS n FROM t GROUP BY 1),
-copies AS (SELECT doc_id FROM inside JOIN total USING (doc_id) WHERE inside.n > total.n * 0.25),
-final AS (SELECT key FROM q WHERE doc_id NOT IN (SELECT doc_id FROM copies) GROUP BY 1 HAVING count(DISTINCT doc_id) >= 10),
-gone AS (SELECT DISTINCT doc_id, i FROM q JOIN final USING (key)),
+t AS (SELECT *, list_transform(regexp_extract_all(ln, {_WORDS}), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN chr(1) ELSE x END) AS w FROM u),
+k AS (SELECT doc_id, i, len(w) AS n, j, w, CASE WHEN j = 0 THEN w ELSE list_transform(w, lambda x, p: CASE WHEN p > 3 AND (p - 4) * 4 // greatest(len(w) - 3, 1) = j - 1 THEN chr(2) ELSE x END) END AS m, list_sum(list_transform(range(3, len(w)), lambda p: CASE WHEN (p - 3) * 4 // greatest(len(w) - 3, 1) = j - 1 THEN 1 ELSE 0 END)) AS free FROM t, (SELECT unnest(range(5)) AS j) WHERE len(w) > 0),
+q AS (SELECT doc_id, i, j || ':' || n || ':' || array_to_string(m, chr(31)) AS key, len(list_filter(m, lambda x: x <> chr(1) AND x <> chr(2))) AS fixed FROM k WHERE j = 0 OR (free > 0 AND n - free > 3)),
+hot AS (SELECT key FROM q GROUP BY 1 HAVING count(DISTINCT doc_id) >= {_NEEDED}),
+met AS (SELECT q.* FROM q JOIN hot USING (key)),
+holders AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM met)),
+{_near('holders')},
+final AS (SELECT key FROM met JOIN m USING (doc_id) GROUP BY 1 HAVING count(DISTINCT class_id) >= {_NEEDED}),
+gone AS (SELECT DISTINCT doc_id, i FROM met JOIN final USING (key)),
 kept AS (SELECT u.doc_id, string_agg(ln, chr(10) ORDER BY u.i) AS text FROM u LEFT JOIN gone USING (doc_id, i) WHERE gone.i IS NULL GROUP BY 1)
 SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST((SELECT count(*) FROM gone WHERE gone.doc_id = d.doc_id) AS BIGINT) AS n_dropped, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
