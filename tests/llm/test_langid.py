@@ -50,6 +50,29 @@ def test_no_labels_one_language_and_empty(spark, empty):
     assert langid.language(empty).count() == 0
 
 
+def test_repeated_rows_and_clashing_columns(docs, rows):
+    labelled = docs.withColumnRenamed("lines", "lang_pred").withColumnRenamed("n_words", "score")
+    got = langid.language(labelled).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got} <= {"en", "de", "und"}
+    texts = {}
+    for i, t, *_ in rows:
+        texts.setdefault(i, set()).add(t)
+    again = [r for r in got if r.doc_id == 1]
+    assert len(again) == 3 and len({tuple(r) for r in again}) == 1 and len([r for r in got if r.doc_id == 2]) == 2
+    assert all((r.lang_pred == "und") == (r.score == 0) for r in got)
+    kept = langid.known_language(labelled)
+    assert kept.columns == labelled.columns and {r["lang_pred"] for r in kept.collect()} <= {"clash"}
+
+
+def test_an_id_of_many_rows_trains_once(spark):
+    rng = random.Random(3)
+    rows = [(k, text(rng, "aa" if k % 2 else "bb", 20), "aa" if k % 2 else "bb") for k in range(1, 60)]
+    many = [(1, text(rng, "bb", 20), "aa") for _ in range(500)]
+    model = langid.fit_language(spark.createDataFrame(rows + many, "doc_id long, text string, lang string"))
+    names, _ = model.predict(langid.tk.text_column(spark.createDataFrame(rows, "doc_id long, text string, lang string").select("text").toArrow().to_batches()[0], "text"))
+    assert np.mean([n == r[2] for n, r in zip(names, rows)]) > 0.95
+
+
 def test_codewords_are_apart():
     for n in (2, 4, 7, 12, 40):
         m = langid.codewords(n)

@@ -1,7 +1,14 @@
 import hashlib
+import itertools
+import random
 import re
+import time
 from collections import Counter
 
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tidemark.llm import pii
 
 TEXTS = [
@@ -55,40 +62,145 @@ def test_field_adds_what_the_patterns_drop(spark):
     assert got[7].spans == "" and got[8].spans == "" and got[9].spans == ""
 
 
-def test_messages_agree_with_enumeration():
-    """On a tree, beliefs are exact: compare with a sum over all labellings."""
-    import itertools
+def tables(f, m):
+    """Exact label probabilities of a small field, by summing over all labellings."""
+    n = len(f.shapes)
+    node = m.vectors(np.array(f.shapes)) @ m.weights
+    total = np.zeros((n, 5))
+    for y in itertools.product(range(5), repeat=n):
+        p = np.exp(sum(node[i, y[i]] for i in range(n)) + sum(m.chain[y[i], y[j]] for i, j in f.chain) + sum(m.skip[y[i], y[j]] for i, j in f.skip))
+        total[np.arange(n), y] += p
+    return total / total.sum(axis=1, keepdims=True)
 
-    import numpy as np
 
+@pytest.mark.parametrize("text,chain,skip,strength,near", [("x1 a2@b.c 33 4111111111111111", [(0, 1), (1, 2), (2, 3)], [], 1.0, 1e-6), ("user7@x.net 12 user7@x.net 3 user7@y", [(0, 1), (1, 2), (2, 3), (3, 4)], [(0, 2), (2, 4)], 0.25, 0.02)])
+def test_messages_agree_with_enumeration(monkeypatch, text, chain, skip, strength, near):
+    """On a chain beliefs are exact; with skip edges, which close loops, they are close."""
     f = pii.Field()
-    text = "x1 a2@b.c 33 4111111111111111"
     own = pii.tokens(text)
     f.add(0, text, own, pii.base_spans(text, own))
+    assert f.chain == chain and f.skip == skip
     rng = np.random.default_rng(3)
-    m = pii.Crf({}, {}, {})
-    m.weights = rng.normal(size=m.weights.shape)
-    m.chain = rng.normal(size=(5, 5))
-    assert f.chain == [(0, 1), (1, 2), (2, 3)] and not f.skip
-    old, pii.ROUNDS = pii.ROUNDS, 60
-    try:
-        got = m.beliefs(f, fixed=False)
-    finally:
-        pii.ROUNDS = old
-    node = m.vectors(np.array(f.shapes)) @ m.weights
-    total = np.zeros((4, 5))
-    for y in itertools.product(range(5), repeat=4):
-        p = np.exp(sum(node[i, y[i]] for i in range(4)) + sum(m.chain[y[i], y[j]] for i, j in f.chain))
-        for i in range(4):
-            total[i, y[i]] += p
-    assert np.allclose(got, total / total.sum(axis=1, keepdims=True), atol=1e-6)
+    m = pii.Crf({})
+    m.weights, m.chain, m.skip = rng.normal(size=m.weights.shape), strength * rng.normal(size=(5, 5)), strength * rng.normal(size=(5, 5))
+    monkeypatch.setattr(pii, "ROUNDS", 60)
+    assert np.abs(m.beliefs(f, fixed=False) - tables(f, m)).max() < near
+    if skip:
+        m.skip = m.skip * 0
+        assert np.abs(m.beliefs(f, fixed=False) - tables(f, m)).max() < 1e-6
 
 
-def test_equal_tokens_share_an_edge():
+def test_fit_raises_the_likelihood():
+    f = pii.Field()
+    for d, t in enumerate(TEXTS):
+        own = pii.tokens(t or "")
+        f.add(d, t or "", own, pii.base_spans(t or "", own))
+    rows, n = np.unique(pii._neighbourhoods(f), axis=0, return_counts=True)
+    counts = {tuple(r): int(k) for r, k in zip(rows.tolist(), n)}
+
+    def loss(m):
+        total = 0.0
+        for r, k in counts.items():
+            own = m.vectors(np.array([r[1]]))[0] @ m.weights
+            chain = sum(table[r[c]] for c, table in ((2, m.chain), (3, m.chain.T)) if r[c] != pii.NOBODY)
+            like = [(m.skip if c < 7 else m.skip.T)[r[c]] for c in range(4, 10) if r[c] != pii.NOBODY]
+            for z in [own + chain + sum(like), own + sum(like), *([m.weights[0] + sum(like)] if like else [])]:
+                total -= k * (z[r[0]] - np.log(np.exp(z).sum()))
+        return total
+
+    m = pii.Crf(counts)
+    best = loss(m)
+    assert best < 0.5 * loss(pii.Crf({}))
+    # a step along any weight makes it no better, but for the part that holds weights small
+    for table in (m.weights, m.chain, m.skip):
+        for at in np.ndindex(table.shape):
+            table[at] += 1e-3
+            assert loss(m) > best - 1e-3 * len(f.shapes) * 1e-2
+            table[at] -= 1e-3
+
+
+def test_skip_edges_change_labels(spark):
+    """A bare number is a phone where the document has it with its prefix, and not otherwise."""
+    train = [(100 + k, f"call +1 (743) 555-{1000 + k} now or later +1 (743) 555-{1000 + k} at home, part 321-{4000 + k} and again part 321-{4000 + k}") for k in range(200)]
+    train += [(400 + k, f"part 777-{2000 + k} is not here") for k in range(200)]
+    texts = ["call +1 (743) 555-3824 or after six just 555-3824 please", "call +1 (743) 555-3824 or order part 555-9999 please", "order part 555-3824 please"]
+    df = spark.createDataFrame([*enumerate(texts), *train], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(df, sure=0.6).collect()}
+    assert got[0].spans == "phone:5:22,phone:41:49" and got[1].spans == "phone:5:22" and got[2].spans == ""
+    model = pii.fit_crf(df)
+    field = pii.Field()
+    own = pii.tokens(texts[0])
+    field.add(0, texts[0], own, pii.base_spans(texts[0], own))
+    assert model.beliefs(field)[-1].argmax() == 3
+    model.skip = model.skip * 0
+    assert model.beliefs(field)[-1].argmax() == pii.OUTSIDE
+
+
+def test_like_tokens_share_an_edge():
     f = pii.Field()
-    text = "user7@x.net a user7@x.net. b user7@x.net"
+    text = "user7@x.net a user7@x.net. b user7@x c +1-743-555-3824 d 555-3824 e 12 f 12"
     f.add(0, text, pii.tokens(text), [])
-    assert f.skip == [(0, 1), (1, 2)]
+    assert f.skip == [(0, 1), (1, 2), (3, 4)]
+
+
+@pytest.mark.parametrize("make", [lambda n: "a" * n + "@", lambda n: "1" * n + "...", lambda n: "a@" * n, lambda n: "1.1.1." * n, lambda n: "a@b" * n + ".c", lambda n: "+1" + "(" * n, lambda n: "+1 " * n, lambda n: "1 " * n, lambda n: "%@" + "x-" * n, lambda n: "7@y.z" * n])
+def test_long_tokens(make):
+    small, large = make(300), make(200_000)
+    assert pii.base_spans(small, pii.tokens(small)) == [(pii.KINDS.index(k), a, b) for k, a, b in brute(small)]
+    began = time.process_time()
+    own = pii.tokens(large)
+    field = pii.Field()
+    field.add(0, large, own, pii.base_spans(large, own))
+    assert time.process_time() - began < 20
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a1+.@-% ()25", max_size=40))
+def test_base_scans_any_text(text):
+    assert pii.base_spans(text, pii.tokens(text)) == [(pii.KINDS.index(k), a, b) for k, a, b in brute(text)]
+
+
+def test_near_misses(spark):
+    """Recall and precision of the added spans on planted near-misses that the patterns alone don't take."""
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        while True:
+            d = "4" + digits(15)
+            if luhn(d):
+                return d
+
+    rows, planted = [], {}
+    for k in range(120):
+        phone, tail = f"+{rng.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", f"order {digits(6)} of 19{digits(2)} v{digits(1)}.{digits(1)}"
+        kind = k % 4
+        if kind == 0:
+            text, new = f"reach me at {phone} 10.{k}.0.7 {tail}", [phone]
+        elif kind == 1:
+            a, b = card(), card()
+            text, new = f"cards {a} {b} {tail}", [a, b]
+        elif kind == 2:
+            c = card()
+            new = [".".join(c[j : j + 4] for j in range(0, 16, 4))]
+            text = f"paid by {c} and noted as {new[0]} {tail}"
+        else:
+            text, new = f"nothing but {tail} and {digits(5)} or 12.{digits(2)}.2024 {digits(3)}", []
+        rows.append((k, text))
+        planted[k] = {(text.index(x), text.index(x) + len(x)) for x in new}
+    rows += [(1000 + k, f"mail u{k}@example.org or {card()} or +{k} (555) {digits(3)}-{digits(4)} or 10.0.{k % 200}.7, {digits(6)} of 19{k % 90 + 10}") for k in range(600)]
+    rows += [(2000 + k, f"card {(c := card())} and again {c}, mail v{k}@example.org or v{k}@example.org, part {(d := digits(7))} as {d}") for k in range(100)]
+    hit = wrong = 0
+    missed = Counter()
+    for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        base = {(a, b) for _, a, b in brute(dict(rows)[r.doc_id])}
+        added = {tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x} - base
+        own = planted.get(r.doc_id, set()) - base
+        hit, wrong = hit + len(added & own), wrong + len(added - own)
+        missed.update({r.doc_id % 4: len(own - added)})
+    total = sum(len(v - {(a, b) for _, a, b in brute(dict(rows)[k])}) for k, v in planted.items())
+    print(f"added spans: recall {hit / total:.3f}, precision {hit / max(1, hit + wrong):.3f} of {total}; missed by kind {dict(missed)}")
+    assert hit / total > 0.6 and hit / (hit + wrong) > 0.9
 
 
 def test_empty(empty):

@@ -21,13 +21,17 @@ _folders: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """This session's folder where the whole cluster reads and writes, removed when Python exits.
 
-    It lies in ``spark.checkpoint.dir``; only where that is unset, as in tests on
-    one machine, a temporary folder takes its place.
+    It lies in ``spark.checkpoint.dir``; only where that is unset and everything
+    runs on one machine, as in tests, a temporary folder takes its place. A cluster
+    without that setting is an error: its executors share no other folder.
     """
     context = spark.sparkContext
     app = context.applicationId
     if app not in _folders:
-        top = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
+        top = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if not top and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = top or tempfile.mkdtemp(prefix="checkpoints-")
         _folders[app] = f"{top.rstrip('/')}/tables-{app}"
         atexit.register(_remove, spark, _folders[app])
     return _folders[app]
@@ -76,6 +80,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def few_keys(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """The rows whose key's hash is among the smallest, about ``2 * size`` different keys or all of them.
+
+    A filter by a threshold: nothing is ranked or gathered, and all rows of a key
+    stay or go together. Rows without a key go.
+    """
+    rows = rows.filter(F.col(key).isNotNull())
+    n = rows.agg(F.approx_count_distinct(key, 0.02)).first()[0]
+    return rows if n <= 2 * size else rows.filter(F.shiftrightunsigned(F.xxhash64(key), 1) / F.lit(2.0**63) <= 2 * size / n)
+
+
 def text_keys(text: Column) -> list[Column]:
     """Two 64-bit hashes that stand for a text: rows of equal text share them (null counts as empty)."""
     text = F.coalesce(text, F.lit(""))

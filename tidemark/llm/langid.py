@@ -14,8 +14,10 @@ are never trained on, and a prediction looks at nothing but the text.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; with
 no labels everything is ``und``; with one language that is predicted; a null id
-counts as the empty string; extra columns are ignored or, by ``known_language``,
-kept.
+counts as the empty string and is never trained on; of equally near codewords the
+first language in order is taken; rows may repeat (of an id and language the
+smallest text is trained on) and are judged each by its text; an empty table gives
+no rows; extra columns are ignored or, by ``known_language``, kept.
 """
 
 from __future__ import annotations
@@ -142,6 +144,8 @@ def fit_language(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     ranked = ids.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned(F.xxhash64("_id"), 1), "_id"))).filter(F.col("_n") <= per_language)
     chosen = ranked.orderBy("_n", "lang").limit(SAMPLE).select("_id", "lang").distinct()
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("lang"), F.col(text).alias("_text")).join(F.broadcast(chosen), ["_id", "lang"])
+    # One row of an id and language, the smallest text, so that the bound holds where ids repeat.
+    rows = rows.filter("_text is not null").groupBy("_id", "lang").agg(F.min("_text").alias("_text"))
     counts = rows.select("lang", "_text").mapInArrow(_tallied, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     # A language whose texts hold no trigram is still a language that was learnt.
     languages = sorted({r["lang"] for r in chosen.select("lang").distinct().collect()})

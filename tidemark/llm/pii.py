@@ -3,19 +3,28 @@
 Only tokens with a digit or ``@`` can be personal data; all others are certainly
 not and cut the chain, so the field has a node for each such token, chain edges
 between neighbours in the text and skip edges from each token to the next one of
-the document that is equal or has the same long digits. Loopy sum-product message
-passing over all documents of a batch at once makes labels agree along both. A
-token that the field labels with at least ``SURE`` and that touches no base span
-becomes a span of its own (neighbouring phone tokens: one span).
-
-Node weights are a softmax regression on token shapes; edge potentials are
-smoothed log ratios of label pairs. Both are fitted to the base spans of at most
-``SAMPLE`` documents (smallest hashes of the id), summed to counts by shape on
-the executors.
-
-Edge cases: null texts count as empty and have no spans; long numbers and texts
-are taken whole; where no sample has personal data nothing is added; rows of
-equal id are judged each by its own text; extra columns are ignored.
+the document that is like it: equal, of the same last seven digits, or of the same
+part before an ``@``. Loopy sum-product message passing over all documents of a
+batch at once makes labels agree along both. A token that the field labels with at
+least ``SURE`` and that touches no base span becomes a span of its own
+(neighbouring phone tokens: one span).
+
+All weights, those of token shapes and the two edge potentials, are fitted
+together by composite likelihood: the probability of each node's label given its shape
+and the labels of its neighbours in the field, given its shape and what it is like, and
+(where there is any) given only what it is like. The patterns' labels hang on the
+shape and the chain alone, and the latter two teach what a skip edge tells where
+these fall silent. A card or phone match of several tokens that fails its check says nothing
+of each of them, so these have no label. Labels are the base spans of at most ``SAMPLE`` documents
+(smallest hashes of the id), summed on the executors to counts by shape and
+neighbourhood; base spans are observed when the field is applied.
+
+Edge cases: null and empty texts have no spans; texts and tokens are taken whole,
+in time in proportion to their length; where no sample has personal data nothing
+is added; rows of equal id are judged each by its own text, and all of a chosen id
+are trained on; null ids aren't trained on; of equally probable labels the first
+kind is taken, a probability of exactly ``sure`` is enough; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,15 +38,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit as tk
+from .common import few_keys
+
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
 SAMPLE = 4000
 SURE = 0.9
 ROUNDS = 8
-
-# Fixed patterns of the contract.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A node has at most so many skip edges each way, one for each kind of likeness.
+SKIPS = 3
+NOBODY = len(KINDS) + 1
+STEPS = 600
+HOLD = 1e-4
+
+# Fixed patterns of the contract, cut so that each scan moves on only: the part of an email
+# before its @ is found backwards, and an ip's numbers are taken from a whole dotted run.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -76,22 +95,55 @@ def tokens(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def base_spans(text: str, own: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of the base patterns, by kind and start. No match of email or ip holds white space."""
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost emails: from each @ back to where its own run begins, but not into an earlier match."""
+    free = 0
+    at = text.find("@")
+    while at >= 0:
+        before = text[free:at]
+        start = free + len(before.rstrip(LOCAL))
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            yield start, m.end()
+        free = m.end() if m else at + 1
+        at = text.find("@", free)
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost runs of four dotted numbers, those over 255 left out."""
+    for run in DOTTED.finditer(text):
+        if run[0].count(".") < 3:
+            continue
+        numbers = run[0].split(".")
+        start = run.start()
+        for k in range(0, len(numbers) - 3, 4):
+            four = numbers[k : k + 4]
+            end = start + sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
+                yield start, end
+            start = end + 1
+
+
+def base_spans(text: str, own: list[tuple[int, int]], lost: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the base patterns, by kind and start; ``lost`` takes the card and phone matches that are dropped."""
     out: list[tuple[int, int, int]] = []
     if not own:
         return out
-    for lo, hi in own:
-        if "@" in text[lo:hi]:
-            out += [(0, m.start(), m.end()) for m in EMAIL.finditer(text, lo, hi)]
-    for lo, hi in own:
-        if text.count(".", lo, hi) >= 3:
-            out += [(1, m.start(), m.end()) for m in IP.finditer(text, lo, hi) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    lost = [] if lost is None else lost
+    out += [(0, *span) for span in emails(text)]
+    out += [(1, *span) for span in addresses(text)]
     for m in CARD.finditer(text):
-        if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m[0])) <= 19 and luhn(d):
-            out.append((2, m.start(), m.end()))
+        if m.end() - m.start() >= 13:
+            if 13 <= len(d := _digits(m[0])) <= 19 and luhn(d):
+                out.append((2, m.start(), m.end()))
+            else:
+                lost.append(m.span())
     if "+" in text:
-        out += [(3, m.start(), m.end()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
+        for m in PHONE.finditer(text):
+            if 9 <= len(_digits(m[0])) <= 15:
+                out.append((3, m.start(), m.end()))
+            else:
+                lost.append(m.span())
     return out
 
 
@@ -106,21 +158,34 @@ def shape(text: str, lo: int, hi: int, before: str) -> int:
     return sum(1 << k for k, b in enumerate(bits) if b)
 
 
+def likeness(token: str) -> list[str]:
+    """What tokens have in common that are like each other: the text, the last seven digits, the part before an ``@``."""
+    s = token.strip(_TRIM).lower()
+    d = _digits(s)
+    at = s.find("@")
+    out = [s] if len(s) >= 3 else []
+    out += [f"#{d[-7:]}"] if len(d) >= 7 else []
+    return out + ([s[: at + 1]] if at >= 3 else [])
+
+
 class Field:
     """The graph of some documents: shapes, base labels, chain and skip edges."""
 
     def __init__(self):
         self.shapes: list[int] = []
         self.labels: list[int] = []
+        self.unsure: list[bool] = []
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
         self.place: list[tuple[int, int, int]] = []
 
-    def add(self, doc: int, text: str, own: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> None:
+    def add(self, doc: int, text: str, own: list[tuple[int, int]], base: list[tuple[int, int, int]], lost: list[tuple[int, int]] | None = None) -> None:
+        """One document's tokens; those that a dropped match of several tokens begins or ends in, or holds, are unsure."""
         first = len(self.shapes)
         seen: dict[str, int] = {}
         by_start = sorted((s, e, k) for k, s, e in base)
         b, reach = 0, []
+        lost, gone = lost or [], 0
         last = -1
         before = ""
         for lo, hi in own:
@@ -132,37 +197,56 @@ class Field:
                 b += 1
             reach = [x for x in reach if x[1] > lo]
             self.labels.append(reach[0][2] if reach else OUTSIDE)
+            while gone < len(lost) and lost[gone][1] <= lo:
+                gone += 1
+            self.unsure.append(gone < len(lost) and not reach and lost[gone][0] < hi and (lost[gone][0] < lo or lost[gone][1] > hi))
             self.place.append((doc, lo, hi))
             if near and k > first:
                 self.chain.append((k - 1, k))
-            s = text[lo:hi].strip(_TRIM).lower()
-            for key in {s, d} if len(d := _digits(s)) >= 7 else {s}:
-                if len(key) >= 3:
-                    if key in seen:
-                        self.skip.append((seen[key], k))
-                    seen[key] = k
+            alike = likeness(text[lo:hi])
+            self.skip += sorted({(seen[key], k) for key in alike if key in seen})
+            seen |= dict.fromkeys(alike, k)
             last, before = hi, text[lo:hi]
 
 
 class Crf:
     """Weights of the field, and inference."""
 
-    def __init__(self, shapes: dict[tuple[int, int], int], chain: dict[tuple[int, int], int], skip: dict[tuple[int, int], int]):
-        masks = sorted({m for m, _ in shapes})
-        x = self.vectors(np.array(masks, dtype=np.int64))
-        y = np.zeros((len(masks), OUTSIDE + 1))
-        for (m, label), n in shapes.items():
-            y[masks.index(m), label] += n
-        w = np.zeros((len(FEATURES), OUTSIDE + 1))
-        w[0, OUTSIDE] = 2.0
-        total = max(1.0, y.sum())
-        speed = np.zeros_like(w)
-        for _ in range(400 if len(masks) else 0):
-            slope = x.T @ (self._softmax(x @ w) * y.sum(axis=1, keepdims=True) - y) / total + 1e-5 * w
-            speed = 0.9 * speed - 1.0 * slope
-            w = w + speed
-        self.weights = w
-        self.chain, self.skip = self._ratios(chain, 0.5), self._ratios(skip, 1.0)
+    def __init__(self, counts: dict[tuple[int, ...], int]):
+        """``counts`` by (label, shape, earlier and later neighbour in the chain, then SKIPS each along skip edges; NOBODY if none)."""
+        self.weights = np.zeros((len(FEATURES), OUTSIDE + 1))
+        self.weights[0, OUTSIDE] = 2.0
+        self.chain, self.skip = np.zeros((2, OUTSIDE + 1, OUTSIDE + 1))
+        if counts:
+            self._fit(np.array(list(counts), dtype=np.int64), np.array(list(counts.values()), dtype=float))
+
+    def _fit(self, rows: np.ndarray, n: np.ndarray) -> None:
+        """Ascends the pseudo-likelihood with momentum, all weights held small."""
+        x = self.vectors(rows[:, 1])
+        # How many neighbours of each label there are, by edge: chain and skip, earlier and later.
+        near = np.zeros((4, len(rows), OUTSIDE + 1))
+        for kind, columns in enumerate(([2], [3], range(4, 4 + SKIPS), range(4 + SKIPS, 4 + 2 * SKIPS))):
+            for c in columns:
+                have = np.flatnonzero(rows[:, c] != NOBODY)
+                near[kind, have, rows[have, c]] += 1
+        wanted = np.eye(OUTSIDE + 1)[rows[:, 0]]
+        # Each node three times: all is known, the chain is not, and only what it is like is.
+        liked = near[2:].sum(axis=(0, 2)) > 0
+        blind = np.zeros_like(x[liked])
+        blind[:, 0] = 1
+        x, wanted, n = np.concatenate([x, x, blind]), np.concatenate([wanted, wanted, wanted[liked]]), np.concatenate([n, n, n[liked]])
+        near = np.concatenate([near, np.concatenate([near[:2] * 0, near[2:]]), np.concatenate([near[:2, liked] * 0, near[2:, liked]])], axis=1)
+        parts = [self.weights, self.chain, self.skip]
+        speed = [np.zeros_like(p) for p in parts]
+        for _ in range(STEPS):
+            w, chain, skip = parts
+            p = self._softmax(x @ w + near[0] @ chain + near[1] @ chain.T + near[2] @ skip + near[3] @ skip.T)
+            miss = (p - wanted) * n[:, None] / n.sum()
+            slopes = (x.T @ miss, near[0].T @ miss + miss.T @ near[1], near[2].T @ miss + miss.T @ near[3])
+            for k, slope in enumerate(slopes):
+                speed[k] = 0.9 * speed[k] - 0.5 * (slope + HOLD * parts[k])
+                parts[k] = parts[k] + speed[k]
+        self.weights, self.chain, self.skip = parts
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
@@ -173,14 +257,6 @@ class Crf:
     def vectors(masks: np.ndarray) -> np.ndarray:
         return (masks[:, None] >> np.arange(len(FEATURES)) & 1).astype(float)
 
-    @staticmethod
-    def _ratios(pairs: dict[tuple[int, int], int], strength: float) -> np.ndarray:
-        n = np.full((OUTSIDE + 1,) * 2, 0.5) + 2 * np.eye(OUTSIDE + 1)
-        for (a, b), k in pairs.items():
-            n[a, b] += k
-        p = n / n.sum()
-        return np.clip(strength * (np.log(p) - np.log(p.sum(axis=1, keepdims=True)) - np.log(p.sum(axis=0, keepdims=True))), -3, 3)
-
     def beliefs(self, field: Field, fixed: bool = True) -> np.ndarray:
         """Label probabilities of each node after ROUNDS of messages; base spans are observed."""
         labels = np.array(field.labels)
@@ -207,27 +283,41 @@ class Crf:
         return self._softmax(node)
 
 
+def _neighbourhoods(field: Field) -> np.ndarray:
+    """A row for each node of sure label: label, shape, and the labels of its neighbours as ``Crf`` counts them."""
+    labels = np.array(field.labels, dtype=np.int64)
+    sure = ~np.array(field.unsure, dtype=bool)
+    labels = np.where(sure, labels, NOBODY)
+    out = np.full((len(labels), 4 + 2 * SKIPS), NOBODY, dtype=np.int64)
+    out[:, 0], out[:, 1] = labels, field.shapes
+    a, b = np.array(field.chain, dtype=np.int64).reshape(-1, 2).T
+    out[b, 2], out[a, 3] = labels[a], labels[b]
+    for earlier, later in field.skip:
+        for node, other, column in ((later, earlier, 4), (earlier, later, 4 + SKIPS)):
+            free = np.flatnonzero(out[node, column : column + SKIPS] == NOBODY)
+            out[node, column + free[0]] = labels[other]
+    for column in (4, 4 + SKIPS):
+        out[:, column : column + SKIPS].sort(axis=1)
+    return out[sure]
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         field = Field()
         for d, t in enumerate(batch.column("_text").to_pylist()):
-            own = tokens(t or "")
-            field.add(d, t or "", own, base_spans(t or "", own))
-        labels = np.array(field.labels, dtype=np.int64)
-        for what, a, b in (("shape", np.array(field.shapes, dtype=np.int64), labels), *((w, *(labels[np.array(e, dtype=np.int64).reshape(-1, 2)].T)) for w, e in (("chain", field.chain), ("skip", field.skip)))):
-            if len(a):
-                pairs, n = np.unique(np.stack([a, b]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([what] * len(n)), pa.array(pairs[0]), pa.array(pairs[1]), pa.array(n.astype(np.int64))], ["what", "a", "b", "n"])
+            own, lost = tokens(t or ""), []
+            base = base_spans(t or "", own, lost)
+            field.add(d, t or "", own, base, sorted(lost))
+        if field.shapes:
+            rows, n = np.unique(_neighbourhoods(field), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([tk.list_column(np.full(len(rows), rows.shape[1]), pa.array(rows.ravel())), pa.array(n.astype(np.int64))], ["node", "n"])
 
 
 def fit_crf(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Crf:
-    ids = docs.select(F.col(doc_id).alias("_id")).filter("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    ids = few_keys(docs.select(F.col(doc_id).alias("_id")), "_id", sample).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), "_id").select("_text")
-    sums = rows.mapInArrow(_tally, "what string, a long, b long, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
-    parts: dict[str, dict[tuple[int, int], int]] = {"shape": {}, "chain": {}, "skip": {}}
-    for r in sorted(sums):
-        parts[r["what"]][r["a"], r["b"]] = r["n"]
-    return Crf(parts["shape"], parts["chain"], parts["skip"])
+    sums = rows.mapInArrow(_tally, "node array<long>, n long").groupBy("node").agg(F.sum("n").alias("n")).orderBy("node").collect()
+    return Crf({tuple(r["node"]): r["n"] for r in sums})
 
 
 def _added(text: str, found: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
