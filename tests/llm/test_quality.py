@@ -1,7 +1,9 @@
+import os
 import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from tidemark.llm import gbt, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,3 +68,27 @@ def test_degenerate_fits():
     assert not len(gbt.fit(np.zeros((0, 3)), np.zeros(0)).roots)
     assert not len(gbt.fit(np.ones((5, 2)), np.ones(5)).roots)
     assert np.isfinite(gbt.fit(np.ones((6, 2)), np.array([0, 1, 0, 1, 1, 1.0])).probability(np.array([[np.nan, 1.0]]))).all()
+
+
+DATA = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_held_out_quality():
+    """Trees fitted to every other labelled document, judged on the rest."""
+    import duckdb
+
+    found = duckdb.sql(f"select text, quality from '{DATA}/documents.parquet' join '{DATA}/labels.parquet' using (doc_id) where quality is not null order by doc_id").arrow()
+    found = found.read_all() if hasattr(found, "read_all") else found
+    batch = found.rename_columns(["_text", "label"]).combine_chunks().to_batches()[0]
+    x, y = quality.features(quality._batch_statistics(batch)), batch.column("label").to_numpy()
+    model = gbt.fit(x[::2], y[::2], trees=40, depth=3, monotone=quality.MONOTONE)
+    right = ((model.probability(x[1::2]) >= 0.5) == y[1::2]).mean()
+    most = max(y[1::2].mean(), 1 - y[1::2].mean())
+    print(f"held-out accuracy {right:.3f}, majority {most:.3f}, {len(y) // 2} documents")
+    assert right >= most
+
+
+def test_labelled_id_of_many_rows(spark, docs):
+    labels = spark.createDataFrame([(1, 1, "clash"), (2, 0, "clash"), (3, 1, "clash"), (300, 0, "clash")], "doc_id long, quality int, text string")
+    assert quality.quality(docs, labels).count() == docs.count()

@@ -8,8 +8,10 @@ score (monotonic constraints).
 
 Edge cases: null and empty texts have no words and fail the base rules; without
 labels of both kinds the base rules alone decide; a document that is labelled
-twice takes the lower label; rows of equal id are scored each by its own text;
-extra columns are ignored.
+twice takes the lower label; rows of equal id are scored each by its own text, and
+the one of the smallest features is trained on; ids of equal hash are taken in the
+order of the id; a score of exactly ``threshold`` is kept; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import gbt
 from . import textkit as tk
+from .common import few_keys
 
 SAMPLE = 20_000
 KEPT = 0.5
@@ -94,16 +97,16 @@ def _batch_statistics(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = features(_batch_statistics(batch))
-        yield pa.RecordBatch.from_arrays([batch.column("label"), tk.list_column(np.full(len(x), x.shape[1]), pa.array(x.ravel()))], ["label", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("label"), tk.list_column(np.full(len(x), x.shape[1]), pa.array(x.ravel()))], ["_id", "label", "x"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> gbt.Trees:
     """Trees fitted to at most ``sample`` labelled documents."""
-    own = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("label")).filter("_id is not null and label is not null")
-    own = own.groupBy("_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(own), "_id").select("label", "_text", F.xxhash64("_id").alias("_h"))
-    # Ids can repeat in documents, so the bound holds for rows too.
-    measured = rows.mapInArrow(_measure, "label int, x array<double>").orderBy(F.xxhash64("x")).limit(sample).toArrow()
+    own = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("label")).filter("label is not null")
+    own = few_keys(own, "_id", sample).groupBy("_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(own), "_id").select("_id", "label", "_text")
+    # Ids can repeat in documents: one row of each, so that the bound holds for rows too.
+    measured = rows.mapInArrow(_measure, f"_id {docs.schema[doc_id].dataType.simpleString()}, label int, x array<double>").groupBy("_id").agg(F.first("label").alias("label"), F.min("x").alias("x")).select("label", "x").toArrow()
     x = np.array(measured.column("x").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, measured.column("label").to_numpy()))
     return gbt.fit(x[order], measured.column("label").to_numpy()[order], trees=40, depth=3, monotone=MONOTONE)
