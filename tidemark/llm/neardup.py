@@ -6,20 +6,24 @@ minimum hashes; two texts of similarity s share a band with probability
 1 - (1 - s**ROWS)**BANDS, which for 0.8, 6 rows and 32 bands is 0.99994 and for
 0.2 is 0.002: ``plan_bands`` chooses these numbers for a target recall.
 
-Texts that share a band are connected (through the band's smallest text, so that
-a band of m texts makes m edges, not m * m pairs). Links exist only inside the
-resulting groups. Every group is verified on its full n-gram sets, whatever its
-size: groups of more than ``block_rows`` texts or ``block_bytes`` are dealt into
-salted blocks and every pair of blocks is one task, which reports counts of
-links and a spanning forest rather than pairs.
+Texts that share a band are connected (through the band's smallest text, its hub, so that a
+band of m texts makes m edges, not m * m pairs). Links exist only inside the
+resulting groups, and a group of up to ``block_rows`` texts and ``block_bytes`` is verified as a
+whole on full n-gram sets. A larger group may be a chain of chance collisions: its
+texts are first verified hub by hub (every two texts of a band meet at its hub), and only the
+groups that verified links make are then verified as wholes, which counts all their links. Whatever is
+larger than a block is dealt into salted blocks and every pair of blocks is one
+task, which reports counts of links and a spanning forest rather than pairs; no
+text or pair is left out.
 
 Equal texts are one class from the start, so copies cost a row each, no more.
 All bookkeeping is by two 64-bit hashes of the text, never by the id.
 
 Edge cases: null, empty and blank texts have no n-grams and are linked to
 nothing, not even to each other (class: their own id); ids may repeat or be null
-(a null id's class is the smallest id of the class, null if all are); extra
-columns are ignored by ``jaccard_join`` and kept by ``one_of_each``.
+(a null id's class is the smallest id of the class, null if all are); ids are numbers or
+strings of them, others are an error; a similarity of exactly the threshold is a
+link; an empty table gives no rows; extra columns are ignored by ``jaccard_join`` and kept by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -146,12 +150,12 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, t
     code, count = _counted(code, count, codes)
     for lo in range(0, nl, 256):
         mine = np.arange(lo, min(lo + 256, nl))
-        shared = np.zeros((len(mine), n), dtype=np.float32)
+        shared = np.zeros((len(mine), n), dtype=np.int64)
         for c in range(0, wide, 2048):
             sel = (at >= c) & (at < c + 2048)
             have = np.zeros((n, min(2048, wide - c)), dtype=np.float32)
             have[owner[sel], at[sel] - c] = 1
-            shared += have[mine] @ have.T
+            shared += (have[mine] @ have.T).astype(np.int64)
         part = slice(*np.searchsorted(code, [lo * n, (mine[-1] + 1) * n]))
         shared[code[part] // n - lo, code[part] % n] += count[part]
         i, j = np.nonzero((under + over) * shared[:, other] >= over * (sizes[mine][:, None] + sizes[other][None, :]))
@@ -220,6 +224,19 @@ def _verified(n: int, threshold: tuple[int, int]):
     return scan
 
 
+def _blocks(rows: DataFrame, block_rows: int, block_bytes: int) -> DataFrame:
+    """Rows (comp, nb): how many blocks a group needs, by rows and by bytes; sizes are sums, so no group is gathered to be measured."""
+    return rows.groupBy("comp").agg(F.greatest(blocks_for(F.count(F.lit(1)), block_rows), blocks_for(F.sum(F.octet_length("_text")), block_bytes)).alias("nb"))
+
+
+def _compared(rows: DataFrame, n: int, threshold: tuple[int, int], block_rows: int, block_bytes: int) -> DataFrame:
+    """Rows (node, links, root) of all pairs inside each ``comp`` of rows (comp, node, copies, _text), a pair of blocks at a time."""
+    dealt = rows.join(_blocks(rows, block_rows, block_bytes), "comp").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "node"), "nb").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = dealt.select("comp", F.least("block", "other").cast("int").alias("bi"), F.greatest("block", "other").cast("int").alias("bj"), "block", "node", "copies", "_text")
+    return dealt.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj").mapInArrow(_verified(n, threshold), "node long, links long, root long")
+
+
 def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """Rows of documents (_id, _k1, _k2, _any), and of distinct texts (_k1, _k2, copies, links, low: its smallest id, root: its class, class_low: that one's smallest id)."""
     bands, per = plan_bands(threshold[0] / threshold[1], recall)
@@ -230,19 +247,22 @@ def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     bucket = texts.select("node", F.explode("_bands").alias("band"))
     hub = checkpoint(bucket.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"))
     groups = checkpoint(components(bucket.join(hub, "band").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))))
-    discard(hub)
-    # Blocks by rows and by bytes: sizes of groups are sums, so no group is gathered to be measured.
     # The text comes from the row of the class's smallest id, so that copies of one text don't meet in one task.
     chosen = texts.join(groups, "node").select("node", "copies", F.col("root").alias("comp"), F.coalesce("low", F.lit(-1)).alias("_low"))
     source = rows.select(F.xxhash64("_k1", "_k2").alias("node"), F.coalesce("_id", F.lit(-1)).alias("_low"), "_text")
     sized = checkpoint(source.join(chosen, ["node", "_low"]).dropDuplicates(["node", "_low"]).select("node", "comp", "copies", "_text"))
-    comps = sized.groupBy("comp").agg(F.greatest(blocks_for(F.count(F.lit(1)), block_rows), blocks_for(F.sum(F.octet_length("_text")), block_bytes)).alias("nb"))
-    dealt = sized.join(comps, "comp").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "node"), "nb").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("comp", F.least("block", "other").cast("int").alias("bi"), F.greatest("block", "other").cast("int").alias("bj"), "block", "node", "copies", "_text")
-    checked = dealt.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj").mapInArrow(_verified(n, threshold), "node long, links long, root long")
-    checked = checkpoint(checked)
-    discard(groups, sized)
+    compare = lambda r: checkpoint(_compared(r, n, threshold, block_rows, block_bytes))
+    large = checkpoint(_blocks(sized, block_rows, block_bytes).filter("nb > 1"))
+    if not large.isEmpty():
+        inside = sized.join(large, "comp", "left_semi").select("node", "copies", "_text")
+        met = bucket.join(hub, "band").select("node", F.col("hub").alias("comp")).distinct()
+        near = compare(inside.join(met, "node"))
+        verified = components(near.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "comp")
+        again = checkpoint(sized.join(large, "comp", "left_anti").unionByName(inside.join(verified, "node").select("node", "comp", "copies", "_text")))
+        discard(near, sized)
+        sized = again
+    checked = compare(sized)
+    discard(groups, sized, hub, large)
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     classes = texts.drop("_bands").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("links", F.coalesce("links", F.lit(0)))
