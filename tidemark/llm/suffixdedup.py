@@ -1,10 +1,16 @@
 """Repeated-substring removal by a depth-limited radix sort of suffixes.
 
-Suffixes are ordered by their first ``depth`` bytes only, by passes over ever
+Suffixes are told apart by their first ``depth`` bytes only, by passes over ever
 deeper digits, the most significant first; a suffix that is alone in its group
 leaves at once, and after the last pass equal groups are exactly the windows of
 ``depth`` bytes that occur more than once.
 
+A digit here is a hash of some of the window's bytes, the same ones in equal
+windows, and not its leading byte: the passes refine the same groups as a sort
+would, from one row for some 80 suffixes instead of one each, but the groups come
+in the order of the hashes. No lexicographic order of suffixes results, and none
+is needed to find what repeats.
+
 * The first digit is the smallest hash among the window's runs of ``GRAM`` bytes
   (the leftmost of equals). Equal windows choose the same run at the same
   distance, so the digit is a function of the window, and neighbouring windows
@@ -18,11 +24,12 @@ leaves at once, and after the last pass equal groups are exactly the windows of
 Every pass is counts by digit (summed before the shuffle) joined back to the
 rows, so a passage that a third of the documents share makes no large group.
 Passes after the first read only the texts of undecided rows. Rows are known by
-96 bits of hashes of id and text, windows by two 64-bit hashes.
+96 bits of hashes of id and text, windows by two independent 64-bit hashes.
 
 Edge cases: null texts count as empty; texts shorter than ``depth`` have no
-window; rows of equal text repeat each other, whatever their ids; extra columns
-are ignored.
+window; rows of equal text repeat each other, whatever their ids (null, repeated, of
+any type); of equal smallest hashes in a window the leftmost is its digit; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,7 +103,7 @@ def anchors(column: pa.Array, depth: int, gram: int) -> Iterator[tuple[np.ndarra
             ending[:-1] = new[1:] | ~whole[1:]
             ends = np.flatnonzero(ending & whole)
             own, base = doc[starts], g.offsets[doc[starts]]
-            content = prefix.at(starts, ends + depth) ^ tk.mix((at[starts] - starts).astype(np.uint64))
+            content = Prefix(data, 1).at(starts, ends + depth) ^ tk.mix((at[starts] - starts).astype(np.uint64))
             yield own + g.first, starts + lo - base, ends + lo - base, at[starts] + lo - base, hashes[at[starts]], content
 
 
