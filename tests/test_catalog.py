@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from tidemark.plans.checks import at_path, check_metrics, check_weights, json_contains, score
@@ -63,6 +64,10 @@ def test_resolution(cat):
     assert len(cat.resolve("stocks_daily").paths) == 6 and cat.resolve("crypto_minute").nested
     with pytest.raises(KeyError, match="stocks_daily"):
         cat.resolve("nothing")
+    os.makedirs(f"{cat.root}/data/canonical/bare", exist_ok=True)
+    with pytest.raises(KeyError, match="holds no files"):
+        cat.resolve("bare")
+    os.rmdir(f"{cat.root}/data/canonical/bare")
     assert cat.last_day() == "2024-01-07" and cat.holdout_cutoff() == "2023-12-08"
 
 
@@ -73,6 +78,11 @@ def test_scans(cat):
     rows = {r.ticker: r for r in cat.scan("crypto_minute").collect()}
     assert set(rows) == {"X:BTCUSD", "X:ETHUSD"} and rows["X:BTCUSD"].vwap == 5.0 and rows["X:ETHUSD"].vwap is None and rows["X:ETHUSD"].close == 4.0
     assert cat.crypto("btcusd", "minute", "2024-01-01", "2024-01-01").count() == 1
+    for bounds, n in (((1704067200000, 1704067200000), 1), ((1704067200001, None), 0), (("2024-01-01T00:00:00+00:00", None), 1), (("2024-01-01T00:00:01", None), 0), (("2024-01-01T01:00:00+02:00", "2024-01-01T02:00:00+02:00"), 1)):
+        assert cat.crypto("X:BTCUSD", "minute", *bounds).count() == n
+    with pytest.raises(ValueError, match="day, hour, minute"):
+        cat.crypto("btcusd", "daily")
+    assert [str(r.date)[:10] for r in cat.trading_days("2024-01-03", "2024-01-04").collect()] == ["2024-01-03", "2024-01-04"]
     assert [r.ticker for r in cat.universe().orderBy("ticker").collect()] == ["AAPL", "MSFT"]
     assert cat.sectors().first().sector == "tech" and cat.report("dq") == "# fine\n"
 

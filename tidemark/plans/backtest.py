@@ -182,10 +182,11 @@ def series_paths(decisions: DataFrame, returns: DataFrame, override: float | Non
     """
     legs = decisions.filter("weights is not null").select(F.col("book").cast("string").alias("book"), F.explode("weights").alias("ticker", "weight")).groupBy("book", "ticker").agg(F.max("weight").alias("weight"))
     panel = _legs(legs, returns, override)
-    moves = decisions.groupBy(F.col("book").cast("string").alias("book")).agg(F.collect_list(F.struct("date", F.map_entries("weights").alias("weights"))).alias("moves"))
-    rows = panel.join(moves, "book")
+    moves = decisions.select(F.col("book").cast("string").alias("book"), "date", F.map_entries("weights").alias("weights"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or own.empty:
+            return pd.DataFrame({f.name: [] for f in PATH})
         pdf = pdf.sort_values("date")
         days = list(pdf["date"])
         names = sorted({leg["ticker"] for legs in pdf["legs"] for leg in legs})
@@ -195,14 +196,15 @@ def series_paths(decisions: DataFrame, returns: DataFrame, override: float | Non
             for leg in legs:
                 bps[place[leg["ticker"]]], r[t, place[leg["ticker"]]] = leg["bps"] / 1e4, leg["ret"]
         todo: dict[int, list] = {}
-        for m in sorted(pdf["moves"].iloc[0], key=lambda m: m["date"]):
-            t = int(np.searchsorted(np.array(days, dtype="datetime64[D]"), np.datetime64(m["date"], "D")))
+        calendar = np.array(days, dtype="datetime64[D]")
+        for m in own.sort_values("date", kind="stable").itertuples():
+            t = int(np.searchsorted(calendar, np.datetime64(m.date, "D")))
             if t == len(days):
                 continue
             target = None
-            if m["weights"] is not None:
+            if m.weights is not None:
                 target = np.zeros(len(names))
-                for leg in m["weights"]:
+                for leg in m.weights:
                     if leg["key"] in place:
                         target[place[leg["key"]]] = leg["value"]
             todo.setdefault(t, []).append(target)
@@ -210,7 +212,7 @@ def series_paths(decisions: DataFrame, returns: DataFrame, override: float | Non
         out.insert(0, "book", pdf["book"].iloc[0])
         return out
 
-    return rows.groupBy("book").applyInPandas(run, PATH)
+    return panel.groupBy("book").cogroup(moves.groupBy("book")).applyInPandas(run, PATH)
 
 
 def performance(paths: DataFrame, by: str = "book", order: str = "date") -> DataFrame:

@@ -336,6 +336,55 @@ def third_friday(spark, d):
     return days.select("date", S.next_opex("date").alias("opex"))
 
 
+@query(f"WITH {PX} SELECT ticker, date, CASE WHEN count(close) OVER w = 20 THEN round(stddev_samp(close) OVER w, 6) END AS std20 FROM px WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING)")
+def rolling_std(spark, d):
+    return px(spark, d).select("ticker", "date", r6(DAILY.std("close", 20), "std20"))
+
+
+@query("SELECT p_partkey, round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER (), 6) AS p_retailprice, round((p_size - avg(p_size) OVER ()) / stddev_samp(p_size) OVER (), 6) AS p_size FROM part")
+def cross_section_z(spark, d):
+    rows = R.cross_z(table(spark, d, "part").select("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("p_size")), ["p_retailprice", "p_size"])
+    return rows.select("p_partkey", r6("p_retailprice", "p_retailprice"), r6("p_size", "p_size"))
+
+
+@query("SELECT 'both' AS what, k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'either', k FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) UNION ALL SELECT 'nation only', k FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier)")
+def set_operations(spark, d):
+    key = lambda t, c: table(spark, d, t).select(F.col(c).cast("long").alias("k"))
+    c, s, n = key("customer", "c_nationkey"), key("supplier", "s_nationkey"), key("nation", "n_nationkey")
+    named = lambda df, what: df.distinct().select(F.lit(what).alias("what"), "k")
+    return named(R.semi(c, s, "k"), "both").unionByName(named(R.union_by_name(c, s), "either")).unionByName(named(R.anti(n, s, "k"), "nation only"))
+
+
+@query(f"WITH {RET} SELECT ticker, date, ret IS NULL AS missing FROM ret WHERE ret IS NULL OR ret > 0.5")
+def null_tolerant_filter(spark, d):
+    rows = px(spark, d).withColumn("ret", DAILY.returns("close"))
+    return rows.filter(S.null_or("ret", F.col("ret") > 0.5)).select("ticker", "date", F.col("ret").isNull().alias("missing"))
+
+
+@query("SELECT event_id FROM events WHERE epoch_ms(ts) >= 1705276800000 AND epoch_ms(ts) < 1705449600000")
+def epoch_ms_window(spark, d):
+    day = lambda x: F.lit(x).cast("date")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return events(spark, d).filter((ms >= S.day_ms(day("2024-01-15"))) & (ms < S.day_ms(day("2024-01-16"), 1))).select("event_id")
+
+
+@query("""WITH s AS (SELECT p_partkey, CAST(DATE '2020-01-17' + p_size * 30 AS DATE) AS expiry, p_retailprice - 900 AS close, p_partkey % 4 AS volume FROM part)
+SELECT p_partkey, expiry FROM s WHERE close > 0 AND volume > 0 AND (expiry - DATE '2020-06-01') / 365.25 BETWEEN 7 / 365.25 AND 1.0""")
+def tradeable_options(spark, d):
+    rows = symbols(spark, d).join(table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") - 900).alias("close"), (F.col("p_partkey") % 4).alias("volume")), "p_partkey")
+    return rows.filter(occ.tradeable("symbol", F.lit("2020-06-01").cast("date"), "close", "volume")).select("p_partkey", "expiry")
+
+
+@query("""WITH f AS (SELECT o_custkey AS ticker, CAST(l_shipdate AS DATE) + CAST(CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS known, CASE WHEN l_linenumber = 1 THEN CAST(o_orderdate AS DATE) END AS period FROM lineitem JOIN orders ON l_orderkey = o_orderkey), p AS (SELECT DISTINCT o_custkey AS ticker, CAST(o_orderdate AS DATE) AS date FROM orders)
+SELECT ticker, date, CAST(coalesce((SELECT min(known) FROM f WHERE f.ticker = p.ticker AND f.period = p.date), (SELECT min(known) FROM f WHERE f.ticker = p.ticker AND f.known > p.date + 4 AND f.known <= p.date + 95), p.date + 45) AS DATE) AS asof FROM p""")
+def knowable_exact(spark, d):
+    """Filings made for exactly a period go first; those accepted at 16 h or later count from the next day."""
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    f = rows.select(F.col("o_custkey").alias("ticker"), F.to_date("l_shipdate").alias("filing_date"), F.concat(day, F.when(F.col("l_linenumber") % 3 == 0, "T16:00:00.000Z").otherwise("T15:59:59.000Z")).alias("acceptance_datetime"), F.when(F.col("l_linenumber") == 1, F.to_date("o_orderdate")).alias("period_end"))
+    return pit.knowable_dates(periods(spark, d).select("ticker", "date").distinct(), f).select("ticker", "date", "asof")
+
+
 # Aggregates
 
 
@@ -357,13 +406,28 @@ def micro_daily(spark, d):
 CHAIN = "ch AS (SELECT l_suppkey AS root, CAST(l_linenumber AS INTEGER) AS date, (l_partkey % 101 - 50) / 200.0 AS mny, (l_orderkey % 120 + 5) / 365.25 AS T, CASE WHEN l_quantity > 25 THEN 'C' ELSE 'P' END AS cp, round(0.2 + l_discount + 0.8 * pow((l_partkey % 101 - 50) / 200.0, 2), 6) AS iv FROM lineitem)"
 
 
+def _chain(spark, d) -> DataFrame:
+    m = (F.col("l_partkey") % 101 - 50) / F.lit(200.0)
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("root"), F.col("l_linenumber").cast("int").alias("date"), m.alias("mny"), ((F.col("l_orderkey") % 120 + 5) / F.lit(365.25)).alias("T"), F.when(F.col("l_quantity") > 25, "C").otherwise("P").alias("cp"), F.round(0.2 + F.col("l_discount") + 0.8 * F.pow(m, F.lit(2)), 6).alias("iv"))
+
+
 @query(f"""WITH {CHAIN}
 SELECT root, date, round(arg_min(iv, (abs(mny) * 10 + abs(T - 30 / 365.25), iv)) FILTER (abs(T - 30 / 365.25) < 30 / 365.25 * 0.6 AND abs(mny) < 0.15), 6) AS atm_iv_30d,
 round((avg(iv) FILTER (cp = 'P' AND mny > -0.12 AND mny < -0.03 AND abs(T - 30 / 365.25) < 20 / 365.25) - avg(iv) FILTER (cp = 'C' AND mny > 0.03 AND mny < 0.12 AND abs(T - 30 / 365.25) < 20 / 365.25)) / (arg_min(iv, (abs(mny) * 10 + abs(T - 30 / 365.25), iv)) FILTER (abs(T - 30 / 365.25) < 30 / 365.25 * 0.6 AND abs(mny) < 0.15)), 6) AS skew_25d, CAST(count(*) AS BIGINT) AS n_contracts FROM ch GROUP BY 1, 2 HAVING count(*) >= 3""")
 def smile_statistics(spark, d):
-    m = (F.col("l_partkey") % 101 - 50) / F.lit(200.0)
-    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("root"), F.col("l_linenumber").cast("int").alias("date"), m.alias("mny"), ((F.col("l_orderkey") % 120 + 5) / F.lit(365.25)).alias("T"), F.when(F.col("l_quantity") > 25, "C").otherwise("P").alias("cp"), F.round(0.2 + F.col("l_discount") + 0.8 * F.pow(m, F.lit(2)), 6).alias("iv"))
-    return smile.statistics(rows).select("root", "date", r6("atm_iv_30d", "atm_iv_30d"), r6("skew_25d", "skew_25d"), "n_contracts")
+    return smile.statistics(_chain(spark, d)).select("root", "date", r6("atm_iv_30d", "atm_iv_30d"), r6("skew_25d", "skew_25d"), "n_contracts")
+
+
+_ATM = "round(arg_min(iv, (abs(mny) * 10 + abs(T - {b} / 365.25), iv)) FILTER (abs(T - {b} / 365.25) < {b} / 365.25 * 0.6 AND abs(mny) < 0.15), 6)"
+
+
+@query(f"""WITH {CHAIN}, m AS (SELECT root, date, CASE WHEN abs(T - 30 / 365.25) < 20 / 365.25 THEN mny END AS x, iv, T, mny FROM ch),
+g AS (SELECT root, date, {_ATM.format(b=90)} AS atm_iv_90d, {_ATM.format(b=30)} AS atm_iv_30d, count(x) AS n, max(x) - min(x) AS wide, CAST(count(x) AS DOUBLE) AS m0, sum(x) AS m1, sum(x * x) AS m2, sum(pow(x, 3)) AS m3, sum(pow(x, 4)) AS m4, sum(iv) FILTER (x IS NOT NULL) AS b0, sum(x * iv) AS b1, sum(x * x * iv) AS b2 FROM m GROUP BY 1, 2 HAVING count(*) >= 3),
+c AS (SELECT *, (m0 * (m2 * b2 - m3 * b1) - m1 * (m1 * b2 - b1 * m2) + b0 * (m1 * m3 - m2 * m2)) / (m0 * (m2 * m4 - m3 * m3) - m1 * (m1 * m4 - m2 * m3) + m2 * (m1 * m3 - m2 * m2)) AS curve FROM g)
+SELECT root, date, atm_iv_90d, atm_iv_90d - atm_iv_30d AS term_slope, round(CASE WHEN n >= 6 AND wide > 0.05 AND curve > 0 THEN 6 * curve * 30 / 365.25 END, 3) AS rn_kurtosis FROM c""".replace("atm_iv_90d - atm_iv_30d AS", "round(atm_iv_90d - atm_iv_30d, 6) AS"))
+def smile_far(spark, d):
+    """The measures of a smile that look at other expiries and at its curvature."""
+    return smile.statistics(_chain(spark, d)).select("root", "date", r6("atm_iv_90d", "atm_iv_90d"), r6("term_slope", "term_slope"), F.round("rn_kurtosis", 3).alias("rn_kurtosis"))
 
 
 @query("""WITH x AS (SELECT l_suppkey, l_discount AS x, l_tax AS y FROM lineitem), m AS (SELECT l_suppkey, CAST(count(*) AS DOUBLE) AS n, sum(x) AS a, sum(x * x) AS b, sum(x * x * x) AS c, sum(x * x * x * x) AS e, sum(y) AS p, sum(x * y) AS q, sum(x * x * y) AS r FROM x GROUP BY 1)
@@ -382,6 +446,26 @@ def bs_price(spark, d):
     return rows.select("p_partkey", (F.abs(F.round(F.col("c") - F.col("p") - forward, 6))).alias("parity"), r6(F.col("gc.delta") - F.col("gp.delta"), "deltas"), ((F.col("c") >= 0) & (F.col("c") <= 1500)).alias("bounded"))
 
 
+def _area(x: str) -> str:
+    """The normal distribution at an SQL expression, by Simpson's rule with 2,000 steps."""
+    bell = f"exp(-0.5 * pow({x} * i / 2000.0, 2))"
+    return f"(0.5 + {x} / 6000.0 / sqrt(2 * pi()) * list_sum(list_transform(range(2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {bell})))"
+
+
+@query(f"""WITH o AS (SELECT p_partkey, 1500.0 AS s, p_retailprice AS k, (p_size + 1) / 100.0 AS t, 0.05 AS r, 0.01 AS q, 0.25 AS v FROM part),
+d AS (SELECT *, (ln(s / k) + (r - q + 0.5 * v * v) * t) / (v * sqrt(t)) AS a, (ln(s / k) + (r - q - 0.5 * v * v) * t) / (v * sqrt(t)) AS b FROM o),
+n AS (SELECT *, {_area('a')} AS na, {_area('b')} AS nb, exp(-0.5 * a * a) / sqrt(2 * pi()) AS bell FROM d)
+SELECT p_partkey, round(s * exp(-q * t) * na - k * exp(-r * t) * nb, 4) AS call, round(k * exp(-r * t) * (1 - nb) - s * exp(-q * t) * (1 - na), 4) AS put,
+round(exp(-q * t) * na, 6) AS call_delta, round(exp(-q * t) * (na - 1), 6) AS put_delta, round(exp(-q * t) * bell / (s * v * sqrt(t)), 8) AS gamma, round(s * exp(-q * t) * bell * sqrt(t) / 100, 6) AS vega,
+round((-s * exp(-q * t) * bell * v / (2 * t) - r * k * exp(-r * t) * nb + q * s * exp(-q * t) * na) / 365, 5) AS call_theta, round(k * t * exp(-r * t) * nb / 100, 5) AS call_rho FROM n""")
+def bs_values(spark, d):
+    """Prices and Greeks of calls and puts with a dividend yield."""
+    u = pricing.udfs()
+    args = [F.lit(1500.0), "p_retailprice", (F.col("p_size") + 1) / 100.0, F.lit(0.05), F.lit(0.01), F.lit(0.25)]
+    rows = table(spark, d, "part").withColumns({"c": u["bs_price"](*args, F.lit("C")), "p": u["bs_price"](*args, F.lit("P")), "gc": u["bs_greeks"](*args, F.lit("C")), "gp": u["bs_greeks"](*args, F.lit("P"))})
+    return rows.select("p_partkey", F.round("c", 4).alias("call"), F.round("p", 4).alias("put"), r6("gc.delta", "call_delta"), r6("gp.delta", "put_delta"), F.round("gc.gamma", 8).alias("gamma"), r6("gc.vega", "vega"), F.round("gc.theta", 5).alias("call_theta"), F.round("gc.rho", 5).alias("call_rho"))
+
+
 @query("SELECT p_partkey, round(0.1 + p_size / 100.0, 4) AS iv FROM part")
 def implied_volatility(spark, d):
     """Volatilities come back from the prices they make."""
@@ -474,10 +558,13 @@ def state_vector(spark, d):
     return vector.build(panels(spark, d), start=START, audit=True)
 
 
-@query("SELECT 'leak' AS gate, CAST(0 AS BIGINT) AS failed")
+@query(f"WITH {PX} SELECT 'leak' AS gate, CAST(0 AS BIGINT) AS failed UNION ALL SELECT 'planted', count(*) FROM px WHERE day(date) = 7")
 def leakage_gate(spark, d):
-    out = vector.leaks(vector.build(panels(spark, d), start=START, audit=True))
-    return out.agg(F.count(F.lit(1)).alias("failed")).select(F.lit("leak").alias("gate"), "failed")
+    """The vector has no leak; with the seventh of each month's figures dated a day ahead, each of these rows is found."""
+    built = vector.build(panels(spark, d), start=START, audit=True).select("ticker", "date", "actuals_date")
+    early = built.withColumn("actuals_date", F.when(F.dayofmonth("date") == 7, F.date_add("date", 1)).otherwise(F.col("actuals_date")))
+    count = lambda rows, name: vector.leaks(rows).agg(F.count(F.lit(1)).alias("failed")).select(F.lit(name).alias("gate"), "failed")
+    return count(built, "leak").unionByName(count(early.filter(F.dayofmonth("date") == 7), "planted"))
 
 
 # Backtests and models
@@ -522,10 +609,102 @@ def rebalance_backtest(spark, d):
     return B.static_paths(books(spark, d), B.leg_returns(monthly(spark, d)), "daily").select("book", "date", r6("gross", "gross"))
 
 
-@query()
+DAILY_RET = f"{PX}, dp AS (SELECT CAST(ticker AS VARCHAR) AS ticker, date, close FROM px), dg AS (SELECT t.ticker, c.date, dp.close FROM (SELECT DISTINCT ticker FROM dp) t CROSS JOIN (SELECT DISTINCT date FROM dp) c LEFT JOIN dp ON dp.ticker = t.ticker AND dp.date = c.date), dr AS (SELECT ticker, date, coalesce(close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1, 0) AS ret FROM dg), cal AS (SELECT date, row_number() OVER (ORDER BY date) AS t, count(*) OVER () AS n, coalesce((year(date), month(date)) <> (year(lag(date) OVER (ORDER BY date)), month(lag(date) OVER (ORDER BY date))), false) AS monthly FROM (SELECT DISTINCT date FROM dr))"
+
+
+def _walked(held: str, trades: str, opened: bool) -> str:
+    """Tables that end in path (book, date, ret, gross, turnover, invested): ``held`` (book, ticker, weight) brought back to its weights after the days of ``trades``.
+
+    Between trades a leg's value is its weight times its own growth, so no recursion
+    is needed. ``opened``: bought on the first day, before its return; else with the
+    first trade. Stocks cost 10 basis points, and all is sold on the last day.
+    """
+    first = "t = 1" if opened else "false"
+    none = "0" if opened else "CASE WHEN seg = 0 THEN 1 ELSE 0 END"
+    return f"""sg AS (SELECT date, t, n, {trades} AS trades, coalesce(sum(CAST({trades} AS INTEGER)) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM cal),
+lg AS (SELECT book, date, t, n, trades, seg, weight, ret, weight * product(1 + ret) OVER w AS val, ticker FROM ({held}) h JOIN dr USING (ticker) JOIN sg USING (date) WINDOW w AS (PARTITION BY book, ticker, seg ORDER BY t)),
+lb AS (SELECT *, coalesce(lag(val) OVER (PARTITION BY book, ticker, seg ORDER BY t), weight) AS before, {none} AS cash FROM lg),
+dy AS (SELECT book, date, t, n, seg, trades, cash, sum(val) AS v, sum(before * ret) / sum(before) AS gain FROM lb GROUP BY ALL),
+tn AS (SELECT lb.book, lb.date, sum(abs(weight - CASE WHEN lb.cash = 1 THEN 0 ELSE val / v END)) AS moved FROM lb JOIN dy USING (book, date) GROUP BY 1, 2),
+pa AS (SELECT book, date, CASE WHEN cash = 1 THEN 0 ELSE gain END AS gross, CASE WHEN {first} THEN 1 ELSE 0 END + CASE WHEN trades THEN moved ELSE 0 END + CASE WHEN t = n AND (cash = 0 OR trades) THEN 1 ELSE 0 END AS turnover, CASE WHEN cash = 1 AND NOT trades THEN 0.0 ELSE 1.0 END AS invested FROM dy JOIN tn USING (book, date)),
+path AS (SELECT book, date, gross - 0.001 * turnover AS ret, gross, turnover, invested FROM pa)"""
+
+
+_PATH = "SELECT book, date, round(ret, 6) AS ret, round(gross, 6) AS gross, round(turnover, 6) AS turnover, round(invested, 6) AS invested FROM path"
+_HELD = "SELECT book, CAST(ticker AS VARCHAR) AS ticker, weight FROM books"
+
+
+def _rounded(paths: DataFrame) -> DataFrame:
+    return paths.select("book", "date", *[r6(c, c) for c in ("ret", "gross", "turnover", "invested")])
+
+
+@query(f"WITH {DAILY_RET}, {BOOKS}, {_walked(_HELD, 'monthly', True)} {_PATH}")
+def backtest_paths(spark, d):
+    """Net and gross daily returns, turnover and exposure of books brought back to target each month."""
+    return _rounded(B.static_paths(books(spark, d), B.leg_returns(daily(spark, d)), "monthly"))
+
+
+@query(f"WITH {DAILY_RET}, {BOOKS}, {_walked(_HELD, 'false', True)} SELECT book, date, round(gross, 6) AS ret FROM path")
+def buy_hold_closed(spark, d):
+    """Gross daily returns of books never rebalanced, without a walk."""
+    held = books(spark, d)
+    return B.buy_and_hold(held, B.leg_returns(daily(spark, d))).withColumn("ret", r6("ret"))
+
+
+METRICS = """cu AS (SELECT *, product(1 + ret) OVER (PARTITION BY book ORDER BY date) AS curve, quantile_cont(ret, 0.05) OVER (PARTITION BY book) AS p5 FROM path), dd AS (SELECT *, curve / max(curve) OVER (PARTITION BY book ORDER BY date) - 1 AS down FROM cu),
+m AS (SELECT book, count(*) AS n, product(1 + ret) AS total, product(1 + gross) AS whole, avg(CAST(ret > 0 AS INTEGER)) AS hit, skewness(ret) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1.0)) AS skew, abs(any_value(p5)) AS var, abs(avg(ret) FILTER (ret <= p5)) AS cvar, avg(invested) AS exposure, abs(min(down)) AS worst, sum(turnover) AS turnover, avg(ret) AS mean, stddev_pop(ret) AS std, sqrt(avg(pow(least(ret, 0), 2))) AS low FROM dd GROUP BY 1)
+SELECT book, CAST(n AS BIGINT) AS n_days, round(ln(total), 6) AS log_total, round(hit, 6) AS hit_rate, round(skew, 5) AS skew, round(var, 6) AS var_95, round(cvar, 6) AS cvar_95, round(exposure, 6) AS exposure, round(worst, 6) AS max_drawdown, round(turnover, 5) AS turnover, round(ln(whole) - ln(total), 6) AS log_cost, n >= 63 AS annualized,
+round(252.0 / n * ln(total), 6) AS log_ann_return, round(std * sqrt(252), 6) AS ann_vol, round(mean * sqrt(252) / std, 5) AS sharpe, round(mean * sqrt(252) / low, 5) AS sortino, round(ln(1 + abs(pow(total, 252.0 / n) - 1) / worst), 5) AS log_calmar FROM m"""
+
+
+@query(f"WITH {DAILY_RET}, {BOOKS}, {_walked(_HELD, 'monthly', True)}, {METRICS}")
 def backtest_performance(spark, d):
-    paths = B.static_paths(books(spark, d), B.leg_returns(daily(spark, d)), "monthly")
-    return B.performance(paths)
+    """The metrics of books brought back to target each month, all days; what compounds, as logarithms."""
+    m = B.performance(B.static_paths(books(spark, d), B.leg_returns(daily(spark, d)), "monthly"))
+    total = F.col("total_return")
+    m = m.withColumns({"log_total": r6(F.ln(1 + total)), "log_cost": r6(F.ln(1 + total + F.col("cost_total")) - F.ln(1 + total))})
+    m = m.withColumns({"log_ann_return": r6(F.ln(1 + F.col("ann_return"))), "log_calmar": F.round(F.ln(1 + F.abs("calmar")), 5)})
+    wide = {"skew": 5, "turnover": 5, "sharpe": 5, "sortino": 5}
+    own = [F.round(c, wide.get(c, 6)).alias(c) for c in B.PERFORMANCE if c not in ("n_days", "total_return", "cost_total", "annualized", "ann_return", "calmar")]
+    return m.select("book", "n_days", "log_total", "log_cost", "log_ann_return", "log_calmar", "annualized", *own)
+
+
+@query(f"""WITH {DAILY_RET}, sp AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(l_shipdate AS DATE) AS date FROM lineitem WHERE l_linenumber = 7), dv AS (SELECT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(l_shipdate AS DATE) AS date, sum(l_tax * 100) AS paid FROM lineitem WHERE l_linenumber = 6 GROUP BY 1, 2),
+pr AS (SELECT ticker, date, ret, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS before FROM dg JOIN dr USING (ticker, date))
+SELECT ticker, date, round(CASE WHEN sp.ticker IS NOT NULL THEN (1 + ret) * 2 - 1 ELSE ret END + coalesce(paid / before, 0), 6) AS ret FROM pr LEFT JOIN sp USING (ticker, date) LEFT JOIN dv USING (ticker, date)""")
+def split_dividend_returns(spark, d):
+    """Daily leg returns with two-for-one splits multiplied back and dividends on the close before."""
+    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("ticker"), F.to_date("l_shipdate").alias("date"), "l_linenumber", (F.col("l_tax") * 100).alias("value"))
+    splits = lines.filter("l_linenumber = 7").select("ticker", "date", F.lit(2.0).alias("factor")).distinct()
+    return B.leg_returns(daily(spark, d), lines.filter("l_linenumber = 6").select("ticker", "date", "value"), splits).withColumn("ret", r6("ret"))
+
+
+@query(f"WITH {PX}, c AS (SELECT DISTINCT date FROM px), n AS (SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS k, count(*) OVER () AS n, min(date) OVER () AS first, greatest(count(*) OVER () // 7, 21) AS size FROM c) SELECT CAST(k // size AS INTEGER) AS fold, min(first) AS train_start, CAST(min(date) - 21 AS DATE) AS train_before, min(date) AS test_start, max(date) AS test_end FROM n WHERE k // size < 5 AND (k // size + 2) * size <= n GROUP BY 1")
+def walk_forward_folds(spark, d):
+    return model.embargoed_folds(px(spark, d))
+
+
+@query(f"WITH {PX}, c AS (SELECT date, lead(date) OVER (ORDER BY date) AS execution, sum(CAST(date >= DATE '1996-06-01' AS INTEGER)) OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM px)) SELECT date AS decision, execution FROM c WHERE execution IS NOT NULL AND ((k = 0 AND execution >= DATE '1996-06-01') OR (k > 0 AND k % 21 = 0))")
+def replay_grid(spark, d):
+    return B.replay_grid(px(spark, d), "1996-06-01", 21)
+
+
+_SCREEN = "DATE '1998-06-30'"
+
+
+@query(f"""WITH {PX}, v AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM px WHERE date >= {_SCREEN} - 60 AND date < {_SCREEN}), t AS (SELECT * FROM v WHERE k <= 10),
+l AS (SELECT ticker, avg(volume) AS score_a, arg_max(close, date) / arg_min(close, date) - 1 AS spot_mom, avg(close / 1e5) AS vol FROM t GROUP BY 1),
+a AS (SELECT ticker, avg(close * volume) AS adv20 FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM px WHERE date >= {_SCREEN} - 30 AND date < {_SCREEN}) WHERE k <= 20 GROUP BY 1),
+f AS (SELECT * FROM l JOIN a USING (ticker) WHERE adv20 >= 1000 AND spot_mom > -0.9),
+z AS (SELECT ticker, coalesce((score_a - avg(score_a) OVER ()) / nullif(stddev_samp(score_a) OVER (), 0), 0) - 0.5 * coalesce((spot_mom - avg(spot_mom) OVER ()) / nullif(stddev_samp(spot_mom) OVER (), 0), 0) AS score, vol, adv20 FROM f)
+SELECT CAST(ticker AS BIGINT) AS ticker, round(score, 6) AS score, round(CASE WHEN vol > 0 THEN vol ELSE 0.5 END, 6) AS vol, round(adv20, 4) AS adv20 FROM z ORDER BY z.score DESC, ticker LIMIT 18""")
+def screen_candidates(spark, d):
+    """The composite screen strictly before a day, on the analogue's last ten rows of each name."""
+    rows = px(spark, d)
+    v = rows.select("ticker", "date", F.col("close").alias("spot"), F.col("volume").alias("score_a"), (F.col("close") / 1e5).alias("minute_realized_diffusion"), F.lit(90).alias("days_to_next_report"), F.lit(0).alias("staleness_quarterly"))
+    money = rows.select("ticker", "date", (F.col("close") * F.col("volume")).alias("dollar_vol"))
+    out = B.screen(v, money, "1998-06-30", {"score_a": 1.0, "spot_mom": -0.5}, adv_min=1000.0, momentum_floor=-0.9)
+    return out.select(F.col("ticker").cast("long").alias("ticker"), r6("score", "score"), r6("vol", "vol"), F.round("adv20", 4).alias("adv20"))
 
 
 @query(f"WITH {MONTHLY}, {BOOKS}, g AS (SELECT ticker, product(1 + ret) - 1 AS total FROM rr GROUP BY 1) SELECT book, coalesce(n_name, 'unmapped') AS sector, round(sum(weight), 6) AS exposure, round(sum(weight * total), 6) AS contribution, CAST(count(*) AS BIGINT) AS n FROM books JOIN supplier ON s_suppkey = books.ticker LEFT JOIN nation ON n_nationkey = s_nationkey AND n_regionkey <> 2 LEFT JOIN g ON g.ticker = CAST(books.ticker AS VARCHAR) GROUP BY 1, 2")
@@ -535,7 +714,10 @@ def sector_exposure(spark, d):
     return B.attribution(books(spark, d), B.leg_returns(monthly(spark, d)), sectors)
 
 
-@query()
+_EVERY = "SELECT book, ticker, 1.0 / count(*) OVER (PARTITION BY book) AS weight FROM (SELECT CAST(s_suppkey % 2 AS VARCHAR) AS book, CAST(s_suppkey AS VARCHAR) AS ticker FROM supplier)"
+
+
+@query(f"WITH {DAILY_RET}, ends AS (SELECT DISTINCT last_day(date) AS e FROM px), {_walked(_EVERY, 'coalesce(date IN (SELECT (SELECT min(c.date) FROM cal c WHERE c.date >= e) FROM ends), false)', False)} {_PATH}")
 def decision_series(spark, d):
     """A series of monthly decisions of each book, from JSON records to a daily path."""
     days = monthly(spark, d).select("date").distinct()
@@ -546,7 +728,7 @@ def decision_series(spark, d):
     record = F.struct(F.lit("1.0").alias("schema_version"), "decision_id", stamp(-2).alias("information_cutoff"), stamp(-1).alias("decision_time"), stamp(0).alias("execution_time"), F.lit("rebalance").alias("action"), "target_holdings")
     series = rows.groupBy("book").agg(F.sort_array(F.collect_list(F.struct("decision_id", F.to_json(record).alias("j")))).alias("l")).select("book", F.concat(F.lit("["), F.array_join("l.j", ","), F.lit("]")).alias("records"))
     good, _ = B.decisions(series)
-    return B.series_paths(good, B.leg_returns(daily(spark, d)))
+    return _rounded(B.series_paths(good, B.leg_returns(daily(spark, d))))
 
 
 @query(f"WITH {RET}, f AS (SELECT ticker, date, ret, -ret + close / 1e4 AS feature, lead(close, 5) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS fwd FROM ret), k AS (SELECT date, rank() OVER (PARTITION BY date ORDER BY feature) + (count(*) OVER (PARTITION BY date, feature) - 1) / 2.0 AS a, rank() OVER (PARTITION BY date ORDER BY fwd) + (count(*) OVER (PARTITION BY date, fwd) - 1) / 2.0 AS b FROM f WHERE feature IS NOT NULL AND fwd IS NOT NULL) SELECT date, CAST(count(*) AS BIGINT) AS n, round(corr(a, b), 6) AS ic FROM k GROUP BY 1 HAVING count(*) >= 15")
@@ -556,23 +738,37 @@ def rank_ic(spark, d):
     return model.spearman_by(rows, "feature", "fwd", ["date"], 15).withColumn("ic", r6("ic"))
 
 
-def matrix(spark, d, k: int = 8) -> DataFrame:
+@query(f"WITH {PX}, f AS (SELECT date, close, volume FROM px), i AS (SELECT date, corr(close, volume) AS ic FROM f GROUP BY 1 HAVING count(*) >= 15), g AS (SELECT count(ic) AS n, avg(ic) AS mean, stddev_samp(ic) AS std FROM i WHERE NOT isnan(ic)) SELECT CAST(n AS BIGINT) AS n, round(mean, 6) AS mean, round(mean / std, 6) AS ic_ir, round(mean / std * sqrt(n), 5) AS t FROM g")
+def ic_significance(spark, d):
+    daily_ic = px(spark, d).groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.corr("close", "volume").alias("ic")).filter("n >= 15 and not isnan(ic)")
+    s = model.significance(daily_ic)
+    return spark.createDataFrame([(s["n"], s["mean"], s["ic_ir"], s["t"])], "n long, mean double, ic_ir double, t double").select("n", r6("mean", "mean"), r6("ic_ir", "ic_ir"), F.round("t", 5).alias("t"))
+
+
+def matrix(spark, d, k: int = 64) -> DataFrame:
     e = table(spark, d, "embeddings")
     return e.select(F.col("vec_id").cast("string").alias("ticker"), F.date_add(F.lit("2018-01-01").cast("date"), (F.col("vec_id") % 400).cast("int")).alias("date"), *[F.element_at("embedding", i + 1).cast("double").alias(f"f{i}") for i in range(k)])
 
 
-@query(f"SELECT CAST(vec_id AS VARCHAR) AS ticker, round({' + '.join(f'pow((embedding[{i + 1}] - m{i}) / s{i}, 2)' for i in range(8))}, 4) AS energy FROM embeddings, (SELECT {', '.join(f'avg(embedding[{i + 1}]) AS m{i}, stddev_pop(embedding[{i + 1}]) AS s{i}' for i in range(8))} FROM embeddings WHERE vec_id % 400 < (SELECT max(vec_id % 400) FROM embeddings) - 30)")
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS ticker, round({' + '.join(f'pow((embedding[{i + 1}] - m{i}) / s{i}, 2)' for i in range(64))}, 4) AS energy FROM embeddings, (SELECT {', '.join(f'avg(embedding[{i + 1}]) AS m{i}, stddev_pop(embedding[{i + 1}]) AS s{i}' for i in range(64))} FROM embeddings WHERE vec_id % 400 < (SELECT max(vec_id % 400) FROM embeddings) - 30)")
 def pca_transform(spark, d):
     """All components together keep the squared length of the standardised row, whatever the axes' signs."""
     rows = matrix(spark, d)
-    fit = model.fit_pca(rows, [f"f{i}" for i in range(8)], components=8)
+    fit = model.fit_pca(rows, [f"f{i}" for i in range(64)], components=64)
     scores = model.transform_pca(rows, fit)
-    return scores.select("ticker", F.round(sum((F.col(f"pc{j + 1:02d}") ** 2 for j in range(1, 8)), F.col("pc01") ** 2), 4).alias("energy"))
+    return scores.select("ticker", F.round(sum((F.col(f"pc{j + 1:02d}") * F.col(f"pc{j + 1:02d}") for j in range(1, 64)), F.col("pc01") * F.col("pc01")), 4).alias("energy"))
+
+
+@query()
+def pca_scores(spark, d):
+    """The production number of axes, fitted to all components of the embeddings before the holdout."""
+    rows = matrix(spark, d)
+    return model.transform_pca(rows, model.fit_pca(rows, [f"f{i}" for i in range(64)]))
 
 
 @query()
 def ridge_scores(spark, d):
-    rows = matrix(spark, d, 64).withColumn("fwd", F.col("f0") * 0.5 - F.col("f3") * 0.2)
+    rows = matrix(spark, d).withColumn("fwd", F.col("f0") * 0.5 - F.col("f3") * 0.2)
     return model.dual_scores(rows, model.ridge_weights(rows, [f"f{i}" for i in range(64)])).select("ticker", r6("additive", "additive"), r6("route_energy", "route_energy"))
 
 
@@ -657,22 +853,43 @@ def _stream(spark, d) -> DataFrame:
 
 
 def _folder(spark) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{base}/stream-{spark.sql('select uuid()').first()[0]}"
+    """Where a stream keeps its state and output: the folder that the cluster shares; a temporary one only on one machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base or tempfile.mkdtemp()}/stream-{spark.sql('select uuid()').first()[0]}"
+
+
+#: What an append-mode stream has put out when its input ends: windows that closed a day, the lateness allowed, before the last event.
+_CLOSED = "<= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"
 
 
-@query("SELECT user_id, CAST(ts AS DATE) AS date, CAST(count(*) AS BIGINT) AS n_bars, round(sum(value * (event_id % 5 + 1)), 4) AS dollar_vol FROM events GROUP BY 1, 2")
+@query(f"SELECT user_id, CAST(ts AS DATE) AS date, CAST(count(*) AS BIGINT) AS n_bars, round(sum(value * (event_id % 5 + 1)), 4) AS dollar_vol, round(sum(value * (event_id % 5 + 1)) / sum(event_id % 5 + 1), 6) AS vwap_day FROM events GROUP BY 1, 2 HAVING CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY {_CLOSED}")
 def stream_daily_bars(spark, d):
+    """The stream's own closed days, nothing else."""
     s = _stream(spark, d).withColumn("volume", F.col("event_id") % 5 + 1)
     out = jobs.run_once(jobs.daily_bars(s, "user_id", "ts", "value", "volume"), _folder(spark))
-    # The watermark holds the last day back; the whole table is a batch of the same plan.
-    whole = jobs.daily_bars(events(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("volume", F.col("event_id") % 5 + 1), "user_id", "ts", "value", "volume")
-    held = whole.join(out.select("user_id", "date"), ["user_id", "date"], "left_anti")
-    return out.unionByName(held).select("user_id", "date", "n_bars", F.round("dollar_vol", 4).alias("dollar_vol"))
+    return out.select("user_id", "date", "n_bars", F.round("dollar_vol", 4).alias("dollar_vol"), r6("vwap_day", "vwap_day"))
+
+
+@query(f"WITH e AS (SELECT user_id, CAST(ts AS DATE) AS d FROM events), w AS (SELECT user_id, CAST(d + k AS DATE) AS date, count(*) AS n FROM e, (SELECT unnest(range(7))::INTEGER AS k) GROUP BY 1, 2) SELECT user_id, date, CAST(n AS BIGINT) AS n FROM w WHERE CAST(date AS TIMESTAMP) + INTERVAL 1 DAY {_CLOSED}")
+def stream_trailing_counts(spark, d):
+    """Events of the seven days up to each day, as the sliding windows close."""
+    return jobs.run_once(jobs.trailing_counts(_stream(spark, d), "user_id", "ts"), _folder(spark))
+
+
+@query(f"WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 21600000000 AS end_us, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR {_CLOSED}")
+def stream_sessions(spark, d):
+    """Sessions that six quiet hours end."""
+    out = jobs.run_once(jobs.sessions(_stream(spark, d), "user_id", "ts", "6 hours"), _folder(spark))
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
-@query("SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM events WHERE value > 0 GROUP BY 1")
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, ts, ln(value) AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events WHERE value > 0),
+f AS (SELECT user_id, ts, k, x AS level, CAST(1.0 AS DOUBLE) AS spread, CAST(NULL AS DOUBLE) AS innovation FROM o WHERE k = 1
+UNION ALL SELECT o.user_id, o.ts, o.k, f.level + (f.spread + 1e-4) / (f.spread + 1e-4 + 1e-2) * (o.x - f.level), (f.spread + 1e-4) * (1 - (f.spread + 1e-4) / (f.spread + 1e-4 + 1e-2)), (o.x - f.level) / sqrt(f.spread + 1e-4 + 1e-2) FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
+SELECT user_id, epoch_us(ts) AS us, round(innovation, 6) AS innovation FROM f""")
 def stream_kalman(spark, d):
-    """Innovations of each user's values, state kept between batches; counted per user."""
-    out = jobs.run_once(jobs.kalman(_stream(spark, d).select("user_id", "ts", "value"), "user_id", "ts", "value"), _folder(spark))
-    return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    """Innovations of each user's positive values, state kept between batches."""
+    out = jobs.run_once(jobs.kalman(_stream(spark, d).filter("value > 0").select("user_id", "ts", "value"), "user_id", "ts", "value"), _folder(spark))
+    return out.select("user_id", F.unix_micros("ts").alias("us"), r6("innovation", "innovation"))

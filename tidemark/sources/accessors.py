@@ -174,8 +174,8 @@ class Dataset(Catalog):
     def etf_profiles(self, ticker=None) -> DataFrame:
         return self.access("etf_profiles", ticker=ticker)
 
-    def apex_constraints(self) -> DataFrame:
-        return self.access("apex_constraints")
+    def apex_constraints(self, scope=None, product_code=None) -> DataFrame:
+        return self.access("apex_constraints", scope=scope, product_code=product_code)
 
     def futures_state_vector(self, roots=None, start=None, end=None) -> DataFrame:
         return self.access("futures_state_vector", start, end, product_code=roots)

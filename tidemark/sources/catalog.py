@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from .panels import EMPTY, SPECS
 CANONICAL, STRUCTURAL, RAW, REPORTS = "data/canonical", "data/structural", "data/raw/massive", "data/reports"
 CRYPTO = {"T": "ticker", "t": "ts", "o": "open", "h": "high", "l": "low", "c": "close", "v": "volume", "vw": "vwap", "n": "trades"}
 NESTED = ("crypto_hourly", "crypto_minute")
+SPANS = {"day": "crypto_daily", "hour": "crypto_hourly", "minute": "crypto_minute"}
 PARTITIONED = ("stocks_daily", "options_daily", "stocks_minute", "crypto_daily")
 DEFAULT_LIMIT = 10_000
 
@@ -83,6 +85,8 @@ class Catalog:
                     deeper = tuple(p for f, d in inside if d for p, _ in self._list(f"{folder}/{name}/{f.rsplit('/', 1)[-1]}") if p.endswith(".parquet"))
                     if deeper:
                         return Found(deeper, True)
+                    if folder == CANONICAL:
+                        raise KeyError(f"panel {name!r} is there but holds no files")
         raise KeyError(f"no panel {name!r}; there are {self.names()}")
 
     def names(self) -> list[str]:
@@ -166,19 +170,24 @@ class Catalog:
         last = self.last_day()
         return None if last is None else str(self.spark.sql(f"select date_sub(date'{last}', {int(days)})").first()[0])
 
-    def trading_days(self) -> DataFrame:
-        return R.distinct_sorted(self.scan("stocks_daily"), "date")
+    def trading_days(self, start=None, end=None) -> DataFrame:
+        """Days that any bar has, in an inclusive range."""
+        return R.distinct_sorted(self.scan("stocks_daily", start, end), "date")
 
-    def crypto(self, pair: str, timespan: str = "daily", start=None, end=None) -> DataFrame:
-        """One pair's bars in order; naive bounds are UTC, the end inclusive to its midnight."""
+    def crypto(self, pair: str, timespan: str = "day", start=None, end=None) -> DataFrame:
+        """One pair's bars in order of their time in milliseconds, between inclusive bounds.
+
+        ``timespan`` is day, hour or minute. A bound is milliseconds since the epoch or
+        ISO-8601 text, with or without a time; without a zone it is UTC.
+        """
+        if timespan not in SPANS:
+            raise ValueError(f"timespan {timespan!r} is none of {', '.join(SPANS)}")
         name = pair.upper()
         name = name if name.startswith("X:") else f"X:{name}"
-        df = self.scan(f"crypto_{timespan}").filter(F.col("ticker") == name)
-        if start is not None:
-            df = df.filter(F.col("ts") >= S.day_ms(F.lit(str(start)[:10]).cast("date")))
-        if end is not None:
-            df = df.filter(F.col("ts") <= S.day_ms(F.lit(str(end)[:10]).cast("date")))
-        return df.orderBy("ts")
+        df = self.scan(SPANS[timespan]).filter(F.col("ticker") == name)
+        at = lambda x: F.lit(int(x)) if isinstance(x, int) else F.lit(_millis(str(x)))
+        df = df if start is None else df.filter(F.col("ts") >= at(start))
+        return (df if end is None else df.filter(F.col("ts") <= at(end))).orderBy("ts")
 
     def sectors(self) -> DataFrame:
         """Reference rows with what the details know of them, whichever columns there are."""
@@ -191,6 +200,11 @@ class Catalog:
         return out.join(details.select("ticker", *own), "ticker", "left")
 
 
+def _millis(iso: str) -> int:
+    when = datetime.fromisoformat(iso)
+    return round((when if when.tzinfo else when.replace(tzinfo=timezone.utc)).timestamp() * 1000)
+
+
 def read_tolerant(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Files of differing schemas as one frame: merged by the reader where types agree, else a union by name that widens them."""
     df = spark.read.option("mergeSchema", "true").parquet(*paths) if len(paths) == 1 else None
