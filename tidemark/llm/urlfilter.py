@@ -1,33 +1,39 @@
 """URL filter: host and path rules, then gradient-boosted trees on lexical features.
 
 The trees are fitted to URLs with known verdicts; here those that a rule
-decides, at most ``SAMPLE`` of them (smallest hashes first). Features: lengths,
-path depth, digit ratio, entropy, parameter counts, host shape, and how often
-labelled URLs of the same top-level suffix are blocked.
+decides, at most ``SAMPLE`` different ones (smallest hashes first). Features: lengths,
+path depth, digit ratio, entropy, parameter counts, host shape, which of SEGMENTS
+hash classes the path's segments fall into, and how often other labelled URLs of the
+same top-level suffix are blocked.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, fits
 no rule and is scored as an empty URL; no labelled URL, or of one verdict only,
-gives that verdict (allow if there is none); equal URLs get equal rows; extra
-columns are ignored.
+gives that verdict (allow if there is none); URLs are taken whole, whatever their
+length; equal URLs get equal rows, each row its own, and are trained on once; a
+score of exactly one half blocks; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
+from .common import few_keys
 
-SAMPLE = 20_000
+SAMPLE = 4000
 #: Fixed values of the contract: verdict, host and path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-FEATURES = 14
+SEGMENTS = 32
+FEATURES = 14 + SEGMENTS
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -64,7 +70,11 @@ def lexical(url: str | None) -> list[float]:
     n = max(1, len(s))
     digits = sum(c.isdigit() for c in s)
     labels = host.split(".")
-    return [len(s), len(host), len(path), path.count("/"), digits / n, sum(c.isdigit() for c in path), _entropy(host), _entropy(path), tail.count("=") + tail.count("&"), "#" in tail, host.count("-"), len(labels), max(map(len, labels)), s.startswith("https:")]
+    classes = [0.0] * SEGMENTS
+    for segment in path.split("/"):
+        if segment:
+            classes[zlib.crc32(segment.encode("utf-8", "surrogatepass")) % SEGMENTS] = 1.0
+    return [len(s), len(host), len(path), path.count("/"), digits / n, sum(c.isdigit() for c in path), _entropy(host), _entropy(path), tail.count("=") + tail.count("&"), "#" in tail, host.count("-"), len(labels), max(map(len, labels)), s.startswith("https:"), *classes]
 
 
 def suffix_of(url: str | None) -> str:
@@ -75,12 +85,19 @@ class Model:
     def __init__(self, rows: list[tuple[list[float], str, int]]):
         """Rows of features, suffix and 1 for block."""
         self.prior = (sum(r[2] for r in rows) + 0.5) / (len(rows) + 1) if rows else 0.0
+        self.suffixes = self._rates(rows)
+        # Each half is trained with the rates of the other, so that no row sees its own label.
+        halves = [self._rates(rows[1::2]), self._rates(rows[::2])]
+        others = [halves[k % 2].get(r[1], self.prior) for k, r in enumerate(rows)]
+        x = np.array([[*r[0], rate] for r, rate in zip(rows, others)], dtype=float).reshape(len(rows), FEATURES + 1)
+        self.trees = gbt.fit(x, np.array([r[2] for r in rows]), trees=40, depth=4)
+
+    def _rates(self, rows: list[tuple[list[float], str, int]]) -> dict[str, float]:
+        """How often the URLs of each suffix are blocked, drawn to the prior by ten URLs."""
         seen: dict[str, list[int]] = {}
         for _, suffix, y in rows:
             seen.setdefault(suffix, []).append(y)
-        self.suffixes = {s: (sum(v) + 10 * self.prior) / (len(v) + 10) for s, v in seen.items()}
-        x = np.array([[*r[0], self.suffixes[r[1]]] for r in rows], dtype=float).reshape(len(rows), FEATURES + 1)
-        self.trees = gbt.fit(x, np.array([r[2] for r in rows]), trees=40, depth=4)
+        return {s: (sum(v) + 10 * self.prior) / (len(v) + 10) for s, v in seen.items()}
 
     def blocked(self, urls: list[str | None]) -> np.ndarray:
         """The probability that each URL is to be blocked."""
@@ -91,18 +108,30 @@ class Model:
         return self.trees.probability(np.array([[*lexical(u), self.suffixes.get(suffix_of(u), self.prior)] for u in urls], dtype=float))
 
 
+def _decided(url: str, rules) -> Column:
+    """Whether a rule fits the URL of a column."""
+    rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring({url}, instr({url}, '://') + 3)"))
+    host = F.translate(F.regexp_extract(rest, "^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    path = F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
+    fits = F.lit(False)
+    for _, suffix, prefix in rules:
+        fits = fits | (((host == suffix) | F.endswith(host, F.lit("." + suffix))) & F.startswith(path, F.lit(prefix)))
+    return F.coalesce(fits, F.lit(False))
+
+
 def _labelled(rules):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(lexical(u), suffix_of(u), int(v == "block")) for u in batch.column("_url").to_pylist() for v in [rule_of(*parts(u)[:2], rules)[1]] if v]
-            yield pa.RecordBatch.from_arrays([pa.array([[float(f) for f in r[0]] for r in rows], type=pa.list_(pa.float64())), pa.array([r[1] for r in rows], type=pa.string()), pa.array([r[2] for r in rows], type=pa.int32())], ["x", "suffix", "y"])
+            rows = [(k, lexical(u), suffix_of(u), int(v == "block")) for k, u in zip(batch.column("_k").to_pylist(), batch.column("_url").to_pylist()) for v in [rule_of(*parts(u)[:2], rules)[1]] if v]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int64()), pa.array([[float(f) for f in r[1]] for r in rows], type=pa.list_(pa.float64())), pa.array([r[2] for r in rows], type=pa.string()), pa.array([r[3] for r in rows], type=pa.int32())], ["_k", "x", "suffix", "y"])
 
     return scan
 
 
 def fit_urls(pages: DataFrame, *, url: str = "url", rules=RULES, sample: int = SAMPLE) -> Model:
-    rows = pages.select(F.col(url).alias("_url")).mapInArrow(_labelled(rules), "x array<double>, suffix string, y int")
-    rows = rows.orderBy(F.xxhash64("x", "suffix"), "suffix", "y").limit(sample).collect()
+    known = pages.select(F.col(url).alias("_url")).filter(_decided("_url", rules))
+    known = few_keys(known, "_url", sample).distinct().select(F.xxhash64("_url").alias("_k"), "_url")
+    rows = known.mapInArrow(_labelled(rules), "_k long, x array<double>, suffix string, y int").orderBy("_k", "suffix", "y").limit(sample).collect()
     return Model([(list(r["x"]), r["suffix"], r["y"]) for r in rows])
 
 
