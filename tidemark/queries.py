@@ -738,9 +738,10 @@ def rank_ic(spark, d):
     return model.spearman_by(rows, "feature", "fwd", ["date"], 15).withColumn("ic", r6("ic"))
 
 
-@query(f"WITH {PX}, f AS (SELECT date, close, volume FROM px), i AS (SELECT date, corr(close, volume) AS ic FROM f GROUP BY 1 HAVING count(*) >= 15), g AS (SELECT count(ic) AS n, avg(ic) AS mean, stddev_samp(ic) AS std FROM i WHERE NOT isnan(ic)) SELECT CAST(n AS BIGINT) AS n, round(mean, 6) AS mean, round(mean / std, 6) AS ic_ir, round(mean / std * sqrt(n), 5) AS t FROM g")
+@query(f"WITH {PX}, f AS (SELECT date, close, volume FROM px), i AS (SELECT date, corr(close, volume) AS ic FROM f GROUP BY 1 HAVING count(*) >= 5), g AS (SELECT count(ic) AS n, avg(ic) AS mean, stddev_samp(ic) AS std FROM i WHERE NOT isnan(ic)) SELECT CAST(n AS BIGINT) AS n, round(mean, 6) AS mean, round(mean / std, 6) AS ic_ir, round(mean / std * sqrt(n), 5) AS t FROM g")
 def ic_significance(spark, d):
-    daily_ic = px(spark, d).groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.corr("close", "volume").alias("ic")).filter("n >= 15 and not isnan(ic)")
+    ic = S.div(F.covar_samp("close", "volume"), F.stddev_samp("close") * F.stddev_samp("volume"))
+    daily_ic = px(spark, d).groupBy("date").agg(F.count(F.lit(1)).alias("n"), ic.alias("ic")).filter("n >= 5 and ic is not null")
     s = model.significance(daily_ic)
     return spark.createDataFrame([(s["n"], s["mean"], s["ic_ir"], s["t"])], "n long, mean double, ic_ir double, t double").select("n", r6("mean", "mean"), r6("ic_ir", "ic_ir"), F.round("t", 5).alias("t"))
 
