@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages, each one operator over all that its predecessor kept."""
+"""The corpus pipeline: five stages, each one operator over all that its predecessor kept.
+
+Edge cases, beside those that the operators state: an empty table passes every
+stage empty; a null or empty text has no language and goes in the first stage; a
+text that line dedup empties stays a row to the end, of size 0; repeated rows are
+copies, of which the third stage keeps one; null and repeated ids and further
+columns pass; ids must be numbers or strings of them from the third stage on.
+"""
 
 from __future__ import annotations
 
