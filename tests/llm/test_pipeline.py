@@ -24,8 +24,8 @@ def test_run_is_the_stages_one_after_another(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).collect())) == sorted(map(tuple, docs.collect()))
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_stages_take_empty_tables(spark, docs, empty):
     own = empty.select("doc_id", "text", "lang", "source", "n_chars")
-    for name, stage in corpus_pipeline.STAGES:
-        if name != "decontamination":
-            assert stage(spark, own, DATA).count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, own, DATA).count() == 0
