@@ -93,7 +93,9 @@ class Lines:
 
 
 KEY = ["_k", "_j"]
-ROWS = "_k long, _j int, leaf long, line long, keys array<struct<key: long, fixed: int, once: int>>"
+#: Flat columns: nested ones take several times as long to write and read.
+PLACES = range(SEGMENTS + 1)
+ROWS = ", ".join(["_k long, _j int, leaf long", *(f"key{j} long" for j in PLACES), *(f"fixed{j} int" for j in PLACES), "once int"])
 
 
 def _first_of(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -105,7 +107,8 @@ def _first_of(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each different line of a document, with all its keys; ``once`` is 1 on a key's first line there."""
+    """One row for each different line of a document, with all its keys (0: none); bit j of ``once`` is set on key j's first line there."""
+    names = ROWS.replace(" long", "").replace(" int", "").split(", ")
     for batch in batches:
         for g in tk.groups(tk.text_column(batch, "_text")):
             x = Lines(g)
@@ -114,11 +117,13 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             at = at[_first_of(x.doc[at], x.keys[at, 0])]
             doc, keys, fixed = x.doc[at], x.keys[at], x.fixed[at].astype(np.int32)
-            there = keys.ravel() != 0
-            flat, owner = keys.ravel()[there], np.repeat(doc, keys.shape[1])[there]
-            once = _first_of(owner, flat).astype(np.int32)
-            lists = tk.list_column((keys != 0).sum(axis=1), pa.StructArray.from_arrays([pa.array(tk.signed(flat)), pa.array(fixed.ravel()[there]), pa.array(once)], ["key", "fixed", "once"]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(doc + g.first)) for k in KEY), pa.array(tk.signed(x.leaf[at])), pa.array(tk.signed(keys[:, 0].copy())), lists], [*KEY, "leaf", "line", "keys"])
+            there = keys != 0
+            once = np.zeros(keys.shape, dtype=np.int32)
+            once[there] = _first_of(np.repeat(doc, there.sum(axis=1)), keys[there])
+            bits = (once << np.arange(keys.shape[1], dtype=np.int32)).sum(axis=1, dtype=np.int32)
+            row = [batch.column(k).take(pa.array(doc + g.first)) for k in KEY]
+            columns = [tk.signed(x.leaf[at]), *(tk.signed(keys[:, j].copy()) for j in PLACES), *(fixed[:, j].copy() for j in PLACES), bits]
+            yield pa.RecordBatch.from_arrays([*row, *map(pa.array, columns)], names)
 
 
 def _row_key(doc_id, text) -> list:
@@ -140,9 +145,10 @@ def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     rows = docs.select(*_row_key(F.col(doc_id), F.col(text)), F.col(text).alias("_text")).filter("_text is not null")
     needed = F.least(F.lit(min_docs), F.greatest(F.lit(2), F.coalesce(F.ceil(F.try_divide(F.lit(evidence), F.col("fixed"))), F.lit(min_docs))))
     parsed = checkpoint(rows.mapInArrow(_parsed, ROWS))
-    most = F.max(F.array_max(F.transform("keys", lambda k: k["fixed"])))
-    leaves = checkpoint(parsed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), most.alias("fixed")).filter(F.col("n") >= needed).select("leaf"))
-    lines = checkpoint(parsed.join(leaves, "leaf").select(*KEY, "line", F.explode("keys").alias("k")).select(*KEY, "line", "k.*"))
+    # The template of all tokens fixes the most words.
+    leaves = checkpoint(parsed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.max("fixed0").alias("fixed")).filter(F.col("n") >= needed).select("leaf"))
+    each = F.array(*[F.struct(F.col(f"key{j}").alias("key"), F.col(f"fixed{j}").alias("fixed"), F.getbit("once", F.lit(j)).alias("once")) for j in PLACES])
+    lines = checkpoint(parsed.join(leaves, "leaf").select(*KEY, F.col("key0").alias("line"), F.inline(each)).filter("key <> 0"))
     discard(parsed, leaves)
     # Written before they are joined, so that a key with very many rows can be split in the join.
     hot = checkpoint(lines.groupBy("key").agg(F.sum("once").alias("n"), F.max("fixed").alias("fixed")).filter(F.col("n") >= needed).select("key"))
