@@ -28,6 +28,18 @@ def div(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
 
 
+def div_ieee(a: Column | str, b: Column | str) -> Column:
+    """a / b as floating point has it: infinite or NaN where b is zero."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(F.try_divide(a, b))
+
+
+def ln_ieee(c: Column | str) -> Column:
+    """Natural logarithm as floating point has it: minus infinity at zero, NaN below."""
+    c = col(c).cast("double")
+    return F.when(c > 0, F.ln(c)).when(c == 0, F.lit(float("-inf"))).when(c < 0, F.lit(float("nan")))
+
+
 def ln(c: Column | str) -> Column:
     """Natural logarithm, NULL at or below zero."""
     c = col(c).cast("double")
