@@ -1,18 +1,21 @@
 """Portfolio backtests: costs, drift, rebalancing, decision series, attribution.
 
-A book's path is sequential, so the legs of a day are first collapsed to one row
-per book and day, and one fold per book walks its days in order with the book's
-weights as state. Books are groups: many run in parallel. All that isn't
+A book's path is sequential, so one fold per book streams over its days in order
+with the book's weights as state; it reads the returns that aren't 0 and holds no
+more than a day of them. Books are groups: many run in parallel. All that isn't
 sequential (returns, splits, metrics) is plain aggregation.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 from datetime import date
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +62,20 @@ def leg_returns(prices: DataFrame, dividends: DataFrame | None = None, splits: D
     return rows.select("ticker", "date", "ret")
 
 
+def sparse_returns(prices: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """The rows of ``leg_returns`` that aren't 0, and each ticker's first: the calendar (``days``, else the prices' own) has the others.
+
+    One row a ticker and day in ``prices``; nothing is put on the grid of all days.
+    """
+    days = (prices if days is None else days).select("date").distinct().filter("date is not null")
+    calendar = days.select("date", F.lag("date").over(Window.partitionBy(F.lit(0)).orderBy("date")).alias("_day_before"))
+    s = Series.of("ticker", "date")
+    rows = prices.select("ticker", "date", S.clean("close").alias("close")).withColumns({"_before": s.lag("close"), "_last": s.lag("date")})
+    rows = rows.join(F.broadcast(calendar), "date", "left")
+    ret = F.when(F.col("_last") == F.col("_day_before"), S.div("close", "_before") - 1)
+    return rows.select("ticker", "date", F.coalesce(ret, F.lit(0.0)).alias("ret"), "_last").filter("ret <> 0 or _last is null").drop("_last")
+
+
 def split_adjust(returns: DataFrame, splits: DataFrame) -> DataFrame:
     """Returns with the split days of their own calendar multiplied back."""
     factor = splits.groupBy("ticker", "date").agg(F.aggregate(F.collect_list(F.col("factor").cast("double")), F.lit(1.0), lambda a, x: a * x).alias("_f"))
@@ -101,118 +118,173 @@ def _period(d: date, frequency: str):
     return {"daily": d, "weekly": d.isocalendar()[:2], "monthly": (d.year, d.month)}.get(frequency)
 
 
-def walk_static(days: list[date], returns: np.ndarray, target: np.ndarray, bps: np.ndarray, frequency: str, exit_cost: bool = True) -> pd.DataFrame:
-    """A fixed target: bought on the first day, drifting, brought back at the first day of each period."""
+def _static_steps(days, target: np.ndarray, bps: np.ndarray, frequency: str, exit_cost: bool):
+    """Rows of a path from (date, returns, decisions, whether it is the last day): a fixed target."""
     net, gross = Walk(bps), Walk(bps * 0)
     net.weights = gross.weights = target.copy()
-    out = []
-    for t, d in enumerate(days):
+    before = None
+    for d, returns, _, last in days:
         net.start_day()
-        if t == 0:
+        if before is None:
             net.trade(target, target)
-        gain, plain = net.earn(returns[t]), gross.earn(returns[t])
+        gain, plain = net.earn(returns), gross.earn(returns)
         drifted = net.weights
-        if t and _period(d, frequency) != _period(days[t - 1], frequency):
+        if before is not None and _period(d, frequency) != _period(before, frequency):
             net.trade(target)
             gross.trade(target)
-        if exit_cost and t == len(days) - 1:
+        if exit_cost and last:
             net.liquidate(drifted)
-        out.append((d, gain - net.cost, plain, net.traded, float(np.abs(net.weights).sum())))
-    return pd.DataFrame(out, columns=["date", "ret", "gross", "turnover", "invested"])
+        before = d
+        yield d, gain - net.cost, plain, net.traded, float(np.abs(net.weights).sum())
 
 
-def walk_series(days: list[date], returns: np.ndarray, moves: dict[int, list[np.ndarray | None]], bps: np.ndarray, exit_cost: bool = True) -> pd.DataFrame:
-    """Decisions by day: those of the first day open the book before its return, later ones follow the day's return; None holds."""
+def _series_steps(days, bps: np.ndarray, exit_cost: bool):
+    """The same for decisions: those of the first day open the book before its return, later ones follow the day's return."""
     net, gross = Walk(bps), Walk(bps * 0)
-    out = []
-    for t, d in enumerate(days):
+    first = True
+    for d, returns, decisions, last in days:
         net.start_day()
-        todo = [m for m in moves.get(t, []) if m is not None]
-        if t == 0:
-            for m in todo:
+        if first:
+            for m in decisions:
                 net.trade(m)
                 gross.trade(m)
-        gain, plain = net.earn(returns[t]), gross.earn(returns[t])
-        if t:
-            for m in todo:
+        gain, plain = net.earn(returns), gross.earn(returns)
+        if not first:
+            for m in decisions:
                 net.trade(m)
                 gross.trade(m)
-        if exit_cost and t == len(days) - 1:
+        if exit_cost and last:
             net.liquidate(net.weights)
-        out.append((d, gain - net.cost, plain, net.traded, float(np.abs(net.weights).sum())))
-    return pd.DataFrame(out, columns=["date", "ret", "gross", "turnover", "invested"])
+        first = False
+        yield d, gain - net.cost, plain, net.traded, float(np.abs(net.weights).sum())
+
+
+def walk_static(days: list[date], returns: np.ndarray, target: np.ndarray, bps: np.ndarray, frequency: str, exit_cost: bool = True) -> pd.DataFrame:
+    """A fixed target: bought on the first day, drifting, brought back at the first day of each period."""
+    stream = ((d, returns[t], [], t == len(days) - 1) for t, d in enumerate(days))
+    return pd.DataFrame(list(_static_steps(stream, target, bps, frequency, exit_cost)), columns=["date", "ret", "gross", "turnover", "invested"])
+
+
+# What a book's fold reads, in this order: its legs, then day by day the returns that aren't 0 and the decisions.
+_LEG, _RETURN, _DECISION = 0, 1, 2
+_STREAM = ("book", "date", "kind", "seq", "k", "x", "y")
+
+
+def _priced(held: DataFrame, returns: DataFrame, days: DataFrame | None, override: float | None) -> DataFrame:
+    """The legs (book, ticker, weight, bps, k) of (book, ticker, weight) that have a price, numbered within their book; cash always has one."""
+    known = returns.select("ticker").distinct().unionByName((returns if days is None else days).limit(1).select(F.lit(CASH).alias("ticker"))).distinct()
+    legs = held.groupBy("book", "ticker").agg(F.max(F.col("weight").cast("double")).alias("weight")).join(known, "ticker", "left_semi")
+    return legs.withColumns({"bps": cost_bps("ticker", override), "k": F.row_number().over(Series.of("book", "ticker").window) - 1})
+
+
+def _stream(legs: DataFrame, returns: DataFrame, days: DataFrame | None, moves: DataFrame | None = None) -> DataFrame:
+    """All rows of ``_STREAM``, a book's in one partition and in order. Without ``days`` a book's days are those on which any of its legs has a return."""
+    row = lambda df, kind, date="date", seq=0, k=None, x=None, y=None: df.select("book", F.col(date).alias("date") if date else F.lit(None).cast("date").alias("date"), F.lit(kind).alias("kind"), (F.col(seq) if isinstance(seq, str) else F.lit(seq)).cast("long").alias("seq"), *[(F.col(c) if c else F.lit(None)).cast(t).alias(n) for n, c, t in (("k", k, "int"), ("x", x, "double"), ("y", y, "double"))])
+    ret = F.coalesce(S.clean("ret"), F.lit(0.0))
+    earned = returns.filter("date is not null").select("ticker", "date", ret.alias("ret"))
+    if days is None:
+        marked = legs.filter(F.col("ticker") == CASH).select("book").distinct().crossJoin(returns.filter("date is not null").select("date").distinct())
+    else:
+        earned = earned.filter("ret <> 0")
+        marked = legs.select("book").distinct().crossJoin(F.broadcast(days.filter("date is not null").select("date").distinct()))
+    out = row(legs, _LEG, date=None, k="k", x="weight", y="bps").unionByName(row(marked, _RETURN)).unionByName(row(earned.join(legs.select("book", "ticker", "k"), "ticker"), _RETURN, k="k", x="ret"))
+    if moves is not None:
+        targets = moves.select("book", "date", "seq", F.explode("weights").alias("ticker", "weight")).withColumnRenamed("book", "_book")
+        known = legs.select("book", "ticker", "k")
+        targets = targets.join(known, (targets["_book"].eqNullSafe(known["book"])) & (targets["ticker"] == known["ticker"])).select("book", "date", "seq", "k", "weight")
+        out = out.unionByName(row(moves, _DECISION, seq="seq")).unionByName(row(targets, _DECISION, seq="seq", k="k", x="weight"))
+    # Of several returns of a leg and day the greatest comes last, and counts.
+    return out.repartition("book").sortWithinPartitions(*_STREAM[:4], "x")
+
+
+def _folded(steps):
+    """Streams over rows of ``_STREAM``: of each book no more is held than its legs, a day of them, and the decisions that wait.
+
+    ``steps`` takes the days, the target weights and the costs of a book's legs.
+    """
+
+    def runs(batches: Iterator[pa.RecordBatch]):
+        """(book, date, kind, seq, k, x, y) of consecutive rows that share the first four."""
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, dtype=bool)
+            new[0] = True
+            heads = [batch.column(j) for j in range(4)]
+            for c in heads:
+                code = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                new[1:] |= code[1:] != code[:-1]
+            k, x, y = batch.column(4).fill_null(-1).to_numpy(zero_copy_only=False), *(batch.column(j).to_numpy(zero_copy_only=False) for j in (5, 6))
+            cuts = np.append(np.flatnonzero(new), n)
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                yield (*(c[lo].as_py() for c in heads), k[lo:hi], x[lo:hi], y[lo:hi])
+
+    def days(rows, size: int):
+        """(date, returns, decisions, whether it is the last day) of one book."""
+        waiting, seq, pending = [], None, None
+        for _, d, kind, number, k, x, _ in rows:
+            here = k >= 0
+            if kind == _RETURN:
+                if pending is None or pending[0] != d:
+                    if pending is not None:
+                        # Only now is it known that the day before wasn't the last, and which decisions it had.
+                        yield (*pending, False)
+                    pending, waiting = (d, np.zeros(size), waiting), []
+                pending[1][k[here]] = x[here]
+            else:
+                if seq != (d, number):
+                    seq = (d, number)
+                    mine = np.zeros(size)
+                    (pending[2] if pending is not None and pending[0] == d else waiting).append(mine)
+                mine[k[here]] = x[here]
+        if pending is not None:
+            yield (*pending, True)
+
+    def books(batches: Iterator[pa.RecordBatch]):
+        for book, rows in itertools.groupby(runs(batches), key=lambda r: r[0]):
+            legs = []
+            for r in rows:
+                if r[2] != _LEG:
+                    break
+                legs.append(r)
+            else:
+                continue
+            if not legs:
+                continue
+            k, x, y = (np.concatenate([leg[j] for leg in legs]) for j in (4, 5, 6))
+            target, bps = np.zeros(len(k)), np.zeros(len(k))
+            target[k], bps[k] = x, y / 1e4
+            yield book, steps(days(itertools.chain([r], rows), len(k)), target, bps)
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for book, path in books(batches):
+            out = pd.DataFrame(list(path), columns=PATH.names[1:])
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array([book] * len(out), type=pa.string()), pa.array(out["date"], type=pa.date32()), *(pa.array(out[c], type=pa.float64()) for c in PATH.names[2:])], PATH.names)
 
-def _legs(books: DataFrame, returns: DataFrame, override: float | None) -> DataFrame:
-    """One row per book and day with its priced legs as arrays; cash earns 0 on every day."""
-    held = books.select("book", "ticker", F.col("weight").cast("double").alias("weight"), cost_bps("ticker", override).alias("bps"))
-    days = returns.select("date").distinct().withColumn("ticker", F.lit(CASH)).withColumn("ret", F.lit(0.0))
-    cash_known = returns.filter(F.col("ticker") == CASH).select("date", "ticker").distinct()
-    rows = returns.select("ticker", "date", F.coalesce(S.clean("ret"), F.lit(0.0)).alias("ret")).unionByName(days.join(cash_known, ["date", "ticker"], "left_anti"))
-    joined = rows.join(held, "ticker")
-    return joined.groupBy("book", "date").agg(F.sort_array(F.collect_list(F.struct("ticker", "weight", "bps", "ret"))).alias("legs"))
+    return scan
 
 
-def static_paths(books: DataFrame, returns: DataFrame, frequency: str = "none", override: float | None = None, exit_cost: bool = True) -> DataFrame:
+def static_paths(books: DataFrame, returns: DataFrame, frequency: str = "none", override: float | None = None, exit_cost: bool = True, days: DataFrame | None = None) -> DataFrame:
     """Daily path of every book (book, ticker, weight) over long returns (ticker, date, ret).
 
-    Legs without a price never trade; after the first day the others are scaled up to 1.
+    Legs without a price never trade; after the first day the others are scaled up
+    to 1. With ``days`` (date), ``returns`` are those of ``sparse_returns``: every
+    priced leg has a return on each of these days, 0 where there is no row.
     """
+    legs = _priced(books.withColumn("book", F.col("book").cast("string")), returns, days, override)
+    return _stream(legs, returns, days).mapInArrow(_folded(lambda rows, target, bps: _static_steps(rows, target, bps, frequency, exit_cost)), PATH)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        names = sorted({leg["ticker"] for legs in pdf["legs"] for leg in legs})
-        place = {n: k for k, n in enumerate(names)}
-        target, bps, r = np.zeros(len(names)), np.zeros(len(names)), np.zeros((len(pdf), len(names)))
-        for t, legs in enumerate(pdf["legs"]):
-            for leg in legs:
-                k = place[leg["ticker"]]
-                target[k], bps[k], r[t, k] = leg["weight"], leg["bps"] / 1e4, leg["ret"]
-        out = walk_static(list(pdf["date"]), r, target, bps, frequency, exit_cost)
-        out.insert(0, "book", pdf["book"].iloc[0])
-        return out
-
-    return _legs(books.withColumn("book", F.col("book").cast("string")), returns, override).groupBy("book").applyInPandas(run, PATH)
 
-
-def series_paths(decisions: DataFrame, returns: DataFrame, override: float | None = None, exit_cost: bool = True) -> DataFrame:
-    """Daily path of decision series (book, date, weights map or null to hold).
+def series_paths(decisions: DataFrame, returns: DataFrame, override: float | None = None, exit_cost: bool = True, days: DataFrame | None = None) -> DataFrame:
+    """Daily path of decision series (book, date, weights map or null to hold); ``days`` as in ``static_paths``.
 
     A decision on a day without trading moves to the next one; beyond the last it is ignored.
     """
-    legs = decisions.filter("weights is not null").select(F.col("book").cast("string").alias("book"), F.explode("weights").alias("ticker", "weight")).groupBy("book", "ticker").agg(F.max("weight").alias("weight"))
-    panel = _legs(legs, returns, override)
-    moves = decisions.select(F.col("book").cast("string").alias("book"), "date", F.map_entries("weights").alias("weights"))
-
-    def run(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty or own.empty:
-            return pd.DataFrame({f.name: [] for f in PATH})
-        pdf = pdf.sort_values("date")
-        days = list(pdf["date"])
-        names = sorted({leg["ticker"] for legs in pdf["legs"] for leg in legs})
-        place = {n: k for k, n in enumerate(names)}
-        bps, r = np.zeros(len(names)), np.zeros((len(pdf), len(names)))
-        for t, legs in enumerate(pdf["legs"]):
-            for leg in legs:
-                bps[place[leg["ticker"]]], r[t, place[leg["ticker"]]] = leg["bps"] / 1e4, leg["ret"]
-        todo: dict[int, list] = {}
-        calendar = np.array(days, dtype="datetime64[D]")
-        for m in own.sort_values("date", kind="stable").itertuples():
-            t = int(np.searchsorted(calendar, np.datetime64(m.date, "D")))
-            if t == len(days):
-                continue
-            target = None
-            if m.weights is not None:
-                target = np.zeros(len(names))
-                for leg in m.weights:
-                    if leg["key"] in place:
-                        target[place[leg["key"]]] = leg["value"]
-            todo.setdefault(t, []).append(target)
-        out = walk_series(days, r, todo, bps, exit_cost)
-        out.insert(0, "book", pdf["book"].iloc[0])
-        return out
-
-    return panel.groupBy("book").cogroup(moves.groupBy("book")).applyInPandas(run, PATH)
+    moves = decisions.filter("weights is not null and date is not null").select(F.col("book").cast("string").alias("book"), "date", F.monotonically_increasing_id().alias("seq"), "weights")
+    legs = _priced(moves.select("book", F.explode("weights").alias("ticker", "weight")), returns, days, override)
+    return _stream(legs, returns, days, moves).mapInArrow(_folded(lambda rows, _, bps: _series_steps(rows, bps, exit_cost)), PATH)
 
 
 def performance(paths: DataFrame, by: str = "book", order: str = "date") -> DataFrame:
