@@ -1,6 +1,7 @@
 """Backtests from returns that aren't 0 and a calendar: the paths of the whole grid."""
 
 import datetime as dt
+import json
 
 import numpy as np
 import pytest
@@ -60,3 +61,24 @@ def test_static_paths(prices, books, small_batches, frequency):
     want = B.walk_static(list(grid.index), grid[["A", "B", "FLAT"]].to_numpy(), np.array([0.4, 0.3, 0.2]), np.full(3, 0.001), frequency)
     own = got.filter("book = 'x'").orderBy("date").toPandas()
     assert np.allclose(own[list(COLUMNS)], want[list(COLUMNS)], atol=1e-12)
+
+
+def test_series_paths(spark, prices, small_batches):
+    moves = [("p", DAYS[0] - dt.timedelta(days=2), {"A": 0.5, "B": 0.5}), ("p", DAYS[4], {"C": 1.0, "GONE": 0.5}), ("p", DAYS[9], None), ("p", DAYS[12], {}), ("p", DAYS[15], {"A": 0.1, "D": 0.2, "E": 0.7}), ("p", DAYS[-1] + dt.timedelta(days=1), {"A": 1.0}), ("q", DAYS[3], {"FLAT": 0.5, B.CASH: 0.5})]
+    moves = spark.createDataFrame(moves, "book string, date date, weights map<string,double>")
+    got = B.series_paths(moves, B.sparse_returns(prices), days=prices.select("date").distinct())
+    same(got, B.series_paths(moves, B.leg_returns(prices)))
+    path = {r.date: r for r in got.filter("book = 'p'").collect()}
+    assert len(path) == len(DAYS) and path[DAYS[0]].turnover == pytest.approx(1.0) and path[DAYS[12]].invested == 0 and path[DAYS[15]].invested == pytest.approx(1.0) and path[DAYS[9]].turnover == 0
+
+
+def test_a_row_a_record(spark):
+    def record(k, **change):
+        at = lambda h: f"2024-01-{k + 1:02d}T{h:02d}:00:00Z"
+        return {"schema_version": "1.0", "decision_id": k, "information_cutoff": at(0), "decision_time": at(1), "execution_time": at(2), "action": "rebalance", "target_holdings": [{"ticker": t, "weight": 0.2} for t in "ABCDE"]} | change
+
+    lists = {"good": [record(1), record(2)], "falls": [record(2), record(1)], "twice": [record(1), record(2, execution_time="2024-01-02T02:00:00Z")], "sum": [record(1), record(2, target_holdings=[])]}
+    whole = B.decisions(spark.createDataFrame([(b, json.dumps(x)) for b, x in lists.items()], "book string, records string"))
+    apart = B.decisions(spark.createDataFrame([(b, k, json.dumps(r)) for b, x in lists.items() for k, r in enumerate(x)], "book string, k int, records string"), record="k")
+    for a, b in zip(whole, apart):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) != []

@@ -334,25 +334,30 @@ def attribution(books: DataFrame, returns: DataFrame, sectors: DataFrame, unmapp
 DECISION = "array<struct<schema_version:string,decision_id:long,information_cutoff:string,decision_time:string,execution_time:string,action:string,target_holdings:array<struct<ticker:string,weight:double>>>>"
 
 
-def decisions(records: DataFrame, column: str = "records", book: str = "book") -> tuple[DataFrame, DataFrame]:
+def decisions(records: DataFrame, column: str = "records", book: str = "book", record: str | None = None) -> tuple[DataFrame, DataFrame]:
     """From rows (book, JSON list of records): the decisions (book, date, weights) and the errors (book, record, error).
 
-    A book with any error has no decisions.
+    With ``record``, a row is one record and that column its place in the list, so
+    that a long series of large books is never one text. A book with any error has
+    no decisions. Windows see a record's few own columns, never its holdings.
     """
-    parsed = records.select(F.col(book).cast("string").alias("book"), F.from_json(column, DECISION).alias("_r"))
-    rows = parsed.select("book", F.posexplode("_r").alias("record", "r")).select("book", "record", "r.*")
+    if record is None:
+        parsed = records.select(F.col(book).cast("string").alias("book"), F.from_json(column, DECISION).alias("_r"))
+        rows = parsed.select("book", F.posexplode("_r").alias("record", "r")).select("book", "record", "r.*")
+    else:
+        one = records.select(F.col(book).cast("string").alias("book"), F.col(record).cast("int").alias("record"), F.from_json(column, DECISION[len("array<") : -1]).alias("r"))
+        rows = one.select("book", "record", "r.*")
     s = Series.of("book", "record")
     action = F.coalesce("action", F.lit("rebalance"))
-    rows = rows.withColumns({"_prior": F.coalesce(F.max("decision_id").over(s.window.rowsBetween(-(2**31) + 1, -1)), F.lit(0)), "action": action})
+    rows = rows.withColumn("action", action)
     rows = rows.withColumns({c: S.epoch_seconds(F.col(t)) for c, t in (("_ic", "information_cutoff"), ("_dt", "decision_time"), ("_et", "execution_time"))})
     total = F.aggregate(F.transform(F.filter("target_holdings", lambda x: x["ticker"].isNotNull() & (x["ticker"] != "") & (x["weight"] >= 0)), lambda x: x["weight"]), F.lit(0.0), lambda a, x: a + x)
     rows = rows.withColumns({"_sum": total, "_date": F.to_date(F.timestamp_seconds("_et"))})
     same_day = F.count(F.lit(1)).over(Series.of(("book", "_date"), "record").whole)
     bad_leg = lambda test: F.exists("target_holdings", test)
-    checks = {
+    alone = {
         "not an object": F.col("schema_version").isNull() & F.col("decision_id").isNull() & F.col("target_holdings").isNull(),
         "schema_version must be 1.0": F.coalesce(F.col("schema_version"), F.lit("")) != "1.0",
-        "decision_id must rise": F.col("decision_id").isNull() | (F.col("decision_id") <= F.col("_prior")),
         "unreadable timestamps": F.col("_ic").isNull() | F.col("_dt").isNull() | F.col("_et").isNull(),
         "information_cutoff <= decision_time < execution_time": (F.col("_ic") > F.col("_dt")) | (F.col("_dt") >= F.col("_et")),
         "unknown action": ~F.col("action").isin("rebalance", "hold"),
@@ -361,12 +366,17 @@ def decisions(records: DataFrame, column: str = "records", book: str = "book") -
         "bad weight": bad_leg(lambda x: x["weight"].isNull() | (x["weight"] < 0)),
         "weight over the cap": bad_leg(lambda x: x["weight"] > MAX_WEIGHT + 1e-9),
         "weights must sum to 1": (F.col("action") == "rebalance") & (F.abs(F.col("_sum") - 1) > SUM_SLACK),
+    }
+    among = {
+        "decision_id must rise": F.col("decision_id").isNull() | (F.col("decision_id") <= F.col("_prior")),
         "duplicate execution date": F.col("_date").isNotNull() & (F.col("_same") > 1),
     }
-    rows = rows.withColumn("_same", same_day)
-    found = rows.withColumn("_errors", F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in checks.items()]))).select("book", "record", F.explode("_errors").alias("error"))
-    empty = parsed.filter(F.col("_r").isNull() | (F.size("_r") == 0)).select("book", F.lit(None).cast("int").alias("record"), F.lit("series missing or empty").alias("error"))
-    errors = found.unionByName(empty)
+    named = lambda checks: F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in checks.items()]))
+    prior = F.coalesce(F.max("decision_id").over(s.window.rowsBetween(-(2**31) + 1, -1)), F.lit(0))
+    slim = rows.select("book", "record", "decision_id", "_date", named(alone).alias("_own")).withColumns({"_prior": prior, "_same": same_day})
+    errors = slim.select("book", "record", F.explode(F.concat("_own", named(among))).alias("error"))
+    if record is None:
+        errors = errors.unionByName(parsed.filter(F.col("_r").isNull() | (F.size("_r") == 0)).select("book", F.lit(None).cast("int").alias("record"), F.lit("series missing or empty").alias("error")))
     weights = F.when(F.col("action") == "rebalance", F.map_from_entries(F.transform("target_holdings", lambda x: F.struct(x["ticker"], x["weight"]))))
     good = rows.join(errors.select("book").distinct(), "book", "left_anti").select("book", F.col("_date").alias("date"), weights.alias("weights"))
     return good, errors
