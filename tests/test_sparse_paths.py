@@ -82,3 +82,14 @@ def test_a_row_a_record(spark):
     apart = B.decisions(spark.createDataFrame([(b, k, json.dumps(r)) for b, x in lists.items() for k, r in enumerate(x)], "book string, k int, records string"), record="k")
     for a, b in zip(whole, apart):
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) != []
+
+
+def test_metrics_walk_the_paths_once(prices, books):
+    paths = B.static_paths(books, B.sparse_returns(prices), days=prices.select("date").distinct())
+    metrics = B.performance(paths)
+    plan = metrics._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    ret = {r.book: [] for r in metrics.collect()}
+    for r in paths.collect():
+        ret[r.book].append(r.ret)
+    assert all(r.var_95 == pytest.approx(abs(np.percentile(ret[r.book], 5))) for r in metrics.collect())

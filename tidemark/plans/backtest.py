@@ -290,10 +290,9 @@ def series_paths(decisions: DataFrame, returns: DataFrame, override: float | Non
 def performance(paths: DataFrame, by: str = "book", order: str = "date") -> DataFrame:
     """One row of metrics per book. Annual figures only from 63 days on; a ratio without a denominator is 0."""
     s = Series.of(by, order)
-    rows = paths.withColumns({"_curve": s.running_product("ret"), "_gcurve": s.running_product("gross"), "_n": F.row_number().over(s.window)})
+    # All by windows, so that the paths are walked once.
+    rows = paths.withColumns({"_curve": s.running_product("ret"), "_gcurve": s.running_product("gross"), "_n": F.row_number().over(s.window), "_p5": F.percentile("ret", F.lit(0.05)).over(s.whole)})
     rows = rows.withColumn("_dd", s.drawdown("_curve"))
-    tail = paths.groupBy(by).agg(F.percentile("ret", F.lit(0.05)).alias("_p5"))
-    rows = rows.join(tail, by)
     ret = F.col("ret")
     out = rows.groupBy(by).agg(
         F.count(F.lit(1)).alias("n_days"), (F.max_by("_curve", "_n") - 1).alias("total_return"), (F.max_by("_gcurve", "_n") - 1).alias("_gross"), F.avg((ret > 0).cast("double")).alias("hit_rate"),
