@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .common import blocks_for, checkpoint, discard, text_keys
-from .graph import components
+from .graph import components, forest
 
 N = 5
 #: Similarity as a fraction, so that the comparison is in whole numbers.
@@ -168,22 +168,6 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, t
         yield rows[i[keep]], rows[j[keep]]
 
 
-def _forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest member of each node's component, by halving paths of the smallest neighbour."""
-    root = np.arange(n)
-    if not pairs:
-        return root
-    i, j = (np.concatenate(x) for x in zip(*pairs))
-    while True:
-        low = np.minimum(root[i], root[j])
-        before = root.copy()
-        np.minimum.at(root, root[i], low)
-        np.minimum.at(root, root[j], low)
-        root = root[root]
-        if (root == before).all():
-            return root
-
-
 def _verified(n: int, threshold: tuple[int, int]):
     """Streams over rows sorted by (comp, bi, bj): links of each text and its root, a task's block pair at a time."""
 
@@ -205,7 +189,8 @@ def _verified(n: int, threshold: tuple[int, int]):
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])
             pairs.append((back[i], back[j]))
-        root = node[order][_forest(len(node), pairs)[back]]
+        i, j = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, dtype=np.int64),) * 2
+        root = node[order][forest(len(node), i, j)[back]]
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(root)], ["node", "links", "root"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
