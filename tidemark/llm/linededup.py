@@ -110,7 +110,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each different line of a document, with all its keys (0: none); bit j of ``once`` is set on key j's first line there."""
     names = ROWS.replace(" long", "").replace(" int", "").split(", ")
     for batch in batches:
-        for g in tk.groups(tk.text_column(batch, "_text")):
+        for g in tk.groups(tk.text_column(batch, "_text"), tk.SMALL_GROUP):
             x = Lines(g)
             at = np.flatnonzero(x.usable)
             if not len(at):
@@ -167,7 +167,7 @@ def _cleaned(column: pa.Array, lost: pa.Array) -> tuple[list[str | None], list[i
     at = np.flatnonzero(lost.is_valid().to_numpy(zero_copy_only=False))
     if len(at):
         some = column.cast(pa.large_string()).take(pa.array(at))
-        for g in tk.groups(some):
+        for g in tk.groups(some, tk.SMALL_GROUP):
             x = Lines(g)
             bounds = np.searchsorted(x.doc, np.arange(len(g) + 1))
             for d in range(len(g)):

@@ -79,16 +79,29 @@ def shingles(group: tk.Group, n: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(doc, np.arange(len(group) + 1))
 
 
-_multipliers = np.random.default_rng(5).integers(1, 2**63, size=4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Hashes of 32 bits: they only choose candidates, and take half the time of 64.
+_multipliers = np.random.default_rng(5).integers(1, 2**31, size=4096, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_STEP = 512
+_scratch: dict[int, np.ndarray] = {}
+
+
+def least_hashes(grams: np.ndarray, n: int) -> np.ndarray:
+    """The minimum of each of ``n`` hashes over a set."""
+    low = np.full(n, np.iinfo(np.uint32).max, dtype=np.uint32)
+    m = _multipliers[:n, None]
+    x = (tk.mix(grams) >> np.uint64(32)).astype(np.uint32)
+    if n not in _scratch:
+        _scratch[n] = np.empty((n, _STEP), dtype=np.uint32)
+    room = _scratch[n]
+    for at in range(0, len(x), _STEP):
+        part = x[None, at : at + _STEP]
+        np.minimum(low, np.multiply(m, part, out=room[:, : part.shape[1]]).min(axis=1), out=low)
+    return low
 
 
 def band_keys(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One key for each band: a hash of the band's number and its minimum hashes."""
-    low = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
-    m = _multipliers[: bands * rows, None]
-    for at in range(0, len(grams), 512):
-        np.minimum(low, (m * grams[None, at : at + 512]).min(axis=1), out=low)
-    low = tk.mix(low).reshape(bands, rows)
+    low = tk.mix(least_hashes(grams, bands * rows).astype(np.uint64)).reshape(bands, rows)
     return tk.mix((low * tk.GRAM_FACTORS[0][:rows]).sum(axis=1, dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -96,7 +109,7 @@ def _signed(n: int, bands: int, rows: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, have = [], []
-            for g in tk.groups(tk.text_column(batch, "_text")):
+            for g in tk.groups(tk.text_column(batch, "_text"), tk.SMALL_GROUP):
                 grams, at = shingles(g, n)
                 for d in range(len(g)):
                     if at[d] < at[d + 1]:

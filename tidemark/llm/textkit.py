@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 GROUP_BYTES = 1 << 20
+#: For work with a dozen arrays of a value a byte or token, so that these stay in the cache.
+SMALL_GROUP = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 #: One random 64-bit value a byte; two tables give two independent hashes.
