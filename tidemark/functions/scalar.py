@@ -69,6 +69,16 @@ def half_even(c: Column | str, scale: int = 0) -> Column:
     return F.bround(col(c), scale)
 
 
+def rounded(c: Column | str, digits: int) -> Column:
+    """Round as SQL engines on floating point do: scaled, half away from zero, scaled back.
+
+    Spark's own rounds the shortest decimal that reads as the value, which differs
+    where the scaled value is just beside a half.
+    """
+    scale = F.lit(10.0**digits)
+    return F.round(col(c) * scale) / scale
+
+
 def any_of(c: Column | str, values) -> Column:
     """IN list; a bare string is one value, not its letters."""
     values = [values] if isinstance(values, str) or not hasattr(values, "__iter__") else list(values)

@@ -324,7 +324,7 @@ def attribution(books: DataFrame, returns: DataFrame, sectors: DataFrame, unmapp
     grown = returns.withColumn("_g", s.running_product("ret")).groupBy("ticker").agg((F.max_by("_g", "date") - 1).alias("_total"))
     mapped = sectors.select("ticker", F.nullif("sector", F.lit("")).alias("_sector"))
     rows = books.join(mapped, "ticker", "left").join(grown, "ticker", "left")
-    out = rows.groupBy("book", F.coalesce("_sector", F.lit(unmapped)).alias("sector")).agg(F.round(F.sum("weight"), 6).alias("exposure"), F.round(F.sum(F.col("weight") * F.coalesce("_total", F.lit(0.0))), 6).alias("contribution"), F.count(F.lit(1)).alias("n"))
+    out = rows.groupBy("book", F.coalesce("_sector", F.lit(unmapped)).alias("sector")).agg(S.rounded(F.sum("weight"), 6).alias("exposure"), S.rounded(F.sum(F.col("weight") * F.coalesce("_total", F.lit(0.0))), 6).alias("contribution"), F.count(F.lit(1)).alias("n"))
     return out.orderBy("book", F.col("exposure").desc(), "sector")
 
 
