@@ -76,7 +76,10 @@ def rounded(c: Column | str, digits: int) -> Column:
     where the scaled value is just beside a half.
     """
     scale = F.lit(10.0**digits)
-    return F.round(col(c) * scale) / scale
+    y = col(c) * scale
+    even = F.rint(y)
+    away = F.when((y > 0) & (y - even == 0.5), even + 1).when((y < 0) & (y - even == -0.5), even - 1).otherwise(even)
+    return (away + F.lit(0.0)) / scale
 
 
 def any_of(c: Column | str, values) -> Column:
@@ -99,6 +102,11 @@ def as_date(c: Column | str) -> Column:
     return F.to_date(F.substring(col(c).cast("string"), 1, 10))
 
 
+def day(df: DataFrame, c: str = "date") -> Column:
+    """``as_date`` of a frame's column; one that is a date is taken as it is, without text."""
+    return F.col(c) if df.schema[c].dataType == T.DateType() else as_date(c)
+
+
 def opex(c: Column | str) -> Column:
     """The third Friday of the date's month."""
     return F.date_add(F.next_day(F.date_sub(F.trunc(col(c), "month"), 1), "FRI"), 14)

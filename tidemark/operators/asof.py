@@ -61,7 +61,30 @@ def asof_join(left: DataFrame, right: DataFrame, by, on: str, *, right_on: str |
     if how == "inner":
         out = out.filter("_hit is not null")
     taken = set(left.columns)
-    return out.select(*[F.col(f"_left._l{i}").alias(c) for i, c in enumerate(left.columns)], *[F.col(f"_hit._r{i}").alias(c + suffix if c in taken else c) for i, c in enumerate(columns)])
+    # Keys from where they lie, so that Spark knows that the rows still lie by them.
+    own = {k: F.col(n).cast(left.schema[k].dataType) if rows.schema[n].dataType != left.schema[k].dataType else F.col(n) for k, n in zip(by, names)}
+    return out.select(*[own.get(c, F.col(f"_left._l{i}")).alias(c) for i, c in enumerate(left.columns)], *[F.col(f"_hit._r{i}").alias(c + suffix if c in taken else c) for i, c in enumerate(columns)])
+
+
+def asof_many(left: DataFrame, rights: dict[str, tuple[DataFrame, str, list[str]]], by: str, on: str, apart=()) -> DataFrame:
+    """``left`` with a struct of each of ``rights`` (rows, their time, columns): the last at or before it; one union and one window for all.
+
+    Of right rows of one time the greatest wins, by time and columns in order. For
+    names in ``apart`` every column is carried by itself, past missing values. Null
+    keys and times match nothing.
+    """
+    rows = left.withColumn("_side", F.lit(1))
+    fields = {}
+    for name, (right, at, columns) in rights.items():
+        right = right.filter(F.col(by).isNotNull() & F.col(at).isNotNull())
+        payload = F.struct(F.col(at).alias("_at"), *[F.col(c).alias(c) for c in columns])
+        rows = rows.unionByName(right.select(F.col(by), F.col(at).alias(on), F.lit(0).alias("_side"), payload.alias(name)), allowMissingColumns=True)
+        fields[name] = columns
+    w = Window.partitionBy(by).orderBy(on, "_side", *rights).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda c: F.last(c, ignorenulls=True).over(w)
+    hits = {f"_h_{name}": F.struct(*[last(f"{name}.{c}").alias(c) for c in fields[name]]) if name in apart else last(name) for name in rights}
+    hit = rows.select(*left.columns, "_side", *[c.alias(k) for k, c in hits.items()]).filter("_side = 1")
+    return hit.select(*left.columns, *[F.col(f"_h_{name}").alias(name) for name in rights])
 
 
 def exact_then_ffill(calendar: DataFrame, values: DataFrame, on: str, columns: list[str], by=()) -> DataFrame:

@@ -1,14 +1,15 @@
 """The daily state vector: one row per entity and day, every value knowable that day.
 
-Each block is a function from panels to columns on the (ticker, date) base, and
-``build`` joins them. All windows partition by ticker and order by date, so the
-blocks share their exchange.
+Each block adds its columns to the (ticker, date) base. All windows partition by
+ticker and order by date, and joins are by ticker and day, so that nothing moves
+between machines once every panel lies by ticker.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import asof as A
 from ..operators import frames as R
+from ..operators import kernels as K
 from ..operators import pit
 from ..operators.rolling import Series
 
@@ -36,29 +38,49 @@ DEFAULT_GAP, HALF_LIFE, CONFIDENCE, YIELD_ANCHOR, STALE_DAYS = 91, 21.0, 0.25, 0
 
 
 def base(stocks: DataFrame, tickers=None, start="2014-01-01", end=None) -> DataFrame:
-    rows = stocks.withColumn("date", S.as_date("date")).filter(F.col("date") >= F.lit(start).cast("date"))
+    rows = stocks.withColumn("date", S.day(stocks)).filter(F.col("date") >= F.lit(start).cast("date"))
     rows = rows if tickers is None else rows.filter(S.any_of("ticker", tickers))
     rows = rows if end is None else rows.filter(F.col("date") <= F.lit(end).cast("date"))
     return rows.select("ticker", "date", S.clean("close").alias("spot"))
 
 
+WEEKLY = ("cur_mkt_cap", *RATIOS)
+
+
+def _weekly(weekly: DataFrame) -> DataFrame:
+    return weekly.filter(S.clean("cur_mkt_cap").isNotNull()).withColumn("date", S.day(weekly)).select(*KEY, *[S.clean(c).alias(c) for c in WEEKLY])
+
+
+def _gaps(*logs):
+    """Of a group's logarithms of ratios: their mean distance from their own history, its tails, and its lag-one correlation."""
+    gap = K.row_mean(*[K.z(x) for x in logs])
+    skew, kurt = K.shape(gap)
+    return gap, kurt, skew, K.corr(gap, K.lag(gap))
+
+
+GAPS = ["composite_valuation_gap", "valuation_kurtosis", "_skew", "_rho"]
+
+
+def _expansion():
+    gap = F.col("composite_valuation_gap")
+    return gap + F.col("_skew") / 6 * (gap * gap - 1) + F.col("valuation_kurtosis") / 24 * (gap * gap * gap - 3 * gap)
+
+
+def _reversion():
+    return -F.ln(S.clip("_rho", 1e-4, 0.9999)) * (252 / 21)
+
+
 def valuation(days: DataFrame, weekly: DataFrame) -> DataFrame:
     """Gap of four valuation ratios from their own history, its tails, and its speed of reversion; and market cap."""
-    known = weekly.filter(S.clean("cur_mkt_cap").isNotNull()).withColumn("date", S.as_date("date")).select(*KEY, *[S.clean(c).alias(c) for c in ("cur_mkt_cap", *RATIOS)])
-    rows = A.union_ffill(days, known, "date", ["cur_mkt_cap", *RATIOS], "ticker")
+    rows = A.union_ffill(days, _weekly(weekly), "date", list(WEEKLY), "ticker")
     rows = rows.withColumns({f"_l_{c}": S.ln(c) for c in RATIOS})
-    rows = rows.withColumn("composite_valuation_gap", S.row_mean(*[DAILY.z(f"_l_{c}", 252, 60) for c in RATIOS]))
-    gap = F.col("composite_valuation_gap")
-    rows = rows.withColumns({"_centred": DAILY.centred(gap), "_lag": DAILY.lag(gap)})
-    rows = rows.withColumns({"valuation_kurtosis": DAILY.kurt("_centred"), "_skew": DAILY.skew("_centred")})
-    rows = rows.withColumns({"_rho": DAILY.corr(gap, "_lag")})
-    expansion = gap + F.col("_skew") / 6 * (gap * gap - 1) + F.col("valuation_kurtosis") / 24 * (gap * gap * gap - 3 * gap)
-    return rows.select(*KEY, "composite_valuation_gap", "valuation_kurtosis", expansion.alias("cornish_fisher_gap"), (-F.ln(S.clip("_rho", 1e-4, 0.9999)) * (252 / 21)).alias("mean_reversion_speed"), F.col("cur_mkt_cap").alias("mcap"))
+    rows = K.by_group(rows, "ticker", "date", [f"_l_{c}" for c in RATIOS], GAPS, _gaps)
+    return rows.select(*KEY, "composite_valuation_gap", "valuation_kurtosis", _expansion().alias("cornish_fisher_gap"), _reversion().alias("mean_reversion_speed"), F.col("cur_mkt_cap").alias("mcap"))
 
 
 def actuals_known(actuals: DataFrame, filings: DataFrame) -> DataFrame:
     """Reported periods with the day their figures were knowable, and the sum of the last four known sales."""
-    rows = pit.knowable_dates(actuals.withColumn("date", S.as_date("date")), filings)
+    rows = pit.knowable_dates(actuals.withColumn("date", S.day(actuals)), filings)
     w = Series.of("ticker", ("asof", "date"))
     sales = S.clean("sales_rev_turn")
     return rows.select("ticker", "date", "asof", S.clean("cf_free_cash_flow").alias("fcf"), sales.alias("sales"), F.coalesce(F.sum(sales).over(w.last(4)), F.lit(0.0)).alias("ttm"))
@@ -96,23 +118,20 @@ def kalman(rows: DataFrame, value: str, name: str, by: str = "ticker", order: st
     return keep.groupBy(by).applyInPandas(run, schema)
 
 
-def fundamentals(days: DataFrame, known: DataFrame, caps: DataFrame) -> DataFrame:
-    """Fair value from free cash flow at a 5 % yield, its gap to the price, sales innovations, staleness.
+def with_fundamentals(rows: DataFrame) -> DataFrame:
+    """Fair value from free cash flow at a 5 % yield, its gap to the price, staleness; ``_known`` is what was reported.
 
-    ``days`` has spot; ``caps`` is the valuation block. Cash flow is in millions.
+    Cash flow is in millions.
     """
-    rows = A.asof_join(days, known.select("ticker", "asof", F.col("date").alias("period_end"), "fcf", "sales"), "ticker", "date", right_on="asof", columns=["period_end", "asof", "fcf", "sales"])
-    rows = rows.join(caps.select(*KEY, "mcap"), KEY, "left")
-    shares = S.div("mcap", "spot")
-    rows = rows.withColumn("fwd_fcf_fair_value", S.div(F.col("fcf") * 1e6, shares) / YIELD_ANCHOR)
-    rows = rows.withColumns({"log_fv_gap": S.ln(S.div("spot", "fwd_fcf_fair_value")), "staleness_quarterly": F.coalesce((F.datediff("date", "asof") > STALE_DAYS).cast("int"), F.lit(0))})
-    news = kalman(rows, "sales", "growth_kalman_update")
-    return rows.join(news, KEY, "left").select(*KEY, "fwd_fcf_fair_value", "log_fv_gap", "growth_kalman_update", "staleness_quarterly", F.col("asof").alias("actuals_date"))
+    shares = S.div("cur_mkt_cap", "spot")
+    rows = rows.withColumn("fwd_fcf_fair_value", S.div(F.col("_known.fcf") * 1e6, shares) / YIELD_ANCHOR)
+    stale = F.coalesce((F.datediff("date", F.col("_known.asof")) > STALE_DAYS).cast("int"), F.lit(0))
+    return rows.withColumns({"log_fv_gap": S.ln(S.div("spot", "fwd_fcf_fair_value")), "staleness_quarterly": stale, "_sales": F.col("_known.sales"), "actuals_date": F.col("_known.asof")})
 
 
 def snapshot_events(known: DataFrame, estimates: DataFrame) -> DataFrame:
     """Surprises of reported sales against estimates of the same period, on the day they became known."""
-    e = estimates.select("ticker", S.as_date("date").alias("date"), S.clean("sales_rev_turn").alias("est")).filter("est is not null")
+    e = estimates.select("ticker", S.day(estimates).alias("date"), S.clean("sales_rev_turn").alias("est")).filter("est is not null")
     miss = F.col("sales") - F.col("est")
     size = F.when(F.col("est") != 0, F.abs("est"))
     sigma = F.greatest(size * 0.10, F.lit(1e-9))
@@ -123,7 +142,7 @@ def snapshot_events(known: DataFrame, estimates: DataFrame) -> DataFrame:
 def guidance_events(guidance: DataFrame, known: DataFrame) -> DataFrame:
     """Revenue guidance in millions: middle, confidence, drift since the same period's last event, surprise against what was known."""
     lo, hi = S.clean("min_revenue_guidance") / 1e6, S.clean("max_revenue_guidance") / 1e6
-    rows = guidance.select("ticker", S.as_date("date").alias("date"), F.upper(F.col("fiscal_period").cast("string")).alias("period"), ((lo + hi) / 2).alias("mid"), F.abs(hi - lo).alias("width"))
+    rows = guidance.select("ticker", S.day(guidance).alias("date"), F.upper(F.col("fiscal_period").cast("string")).alias("period"), ((lo + hi) / 2).alias("mid"), F.abs(hi - lo).alias("width"))
     rows = rows.filter("mid is not null and mid <> 0")
     same = Series.of(("ticker", "period"), ("date", "mid"))
     gap = F.greatest(F.datediff("date", same.lag("date")), F.lit(1))
@@ -136,108 +155,128 @@ def guidance_events(guidance: DataFrame, known: DataFrame) -> DataFrame:
     return rows.select("ticker", "date", "mid", S.div(F.lit(1.0), 1 + S.div("width", size + 1e-9)).alias("confidence"), "velocity", S.div(miss, size).alias("surprise"), (0.5 * miss * miss / (sigma * sigma) / math.log(2)).alias("kl"))
 
 
-def information(days: DataFrame, guidance: DataFrame, known: DataFrame, estimates: DataFrame, pit_half_life: bool = False) -> DataFrame:
-    """Guidance track with the snapshot track before a ticker's first event.
-
-    The half-life is the lag-one correlation of absolute surprises over all days
-    of a ticker, which looks ahead; ``pit_half_life`` uses the days so far only.
-    """
-    events = guidance_events(guidance, known)
-    any_row = guidance.select("ticker").distinct().withColumn("_any", F.lit(0))
-    rows = A.asof_join(days.select(*KEY), events.select("ticker", F.col("date").alias("event"), "mid", "confidence", "velocity", "surprise", "kl"), "ticker", "date", right_on="event")
-    snaps = snapshot_events(known, estimates)
-    rows = A.asof_join(rows, snaps.select("ticker", "asof", F.col("period").alias("_sp"), F.col("surprise").alias("_ss"), F.col("kl").alias("_sk")), "ticker", "date", right_on="asof", columns=["_sp", "_ss", "_sk"])
-    used = F.col("event").isNull()
-    rows = rows.withColumns({"_raw": F.when(used, F.col("_ss")).otherwise(F.col("surprise")), "_rawk": F.when(used, F.col("_sk")).otherwise(F.col("kl")), "snapshot_track_used": used.cast("int")})
-    rows = rows.withColumns({"fundamental_surprise": DAILY.ffill("_raw"), "kl_surprise_bits": DAILY.ffill("_rawk")})
-    # Pairs of consecutive surprises that are there.
-    size = F.abs("_raw")
-    rows = rows.withColumns({"_abs": size, "_before": F.last(size, ignorenulls=True).over(DAILY.window.rowsBetween(-(2**31) + 1, -1))})
-    guided = events.select("ticker").distinct().withColumn("_guided", F.lit(1))
+def with_information(rows: DataFrame, guidance: DataFrame, events: DataFrame) -> DataFrame:
+    """Guidance track (``_event``) with the snapshot track (``_snap``) before a ticker's first event."""
+    used = F.col("_event.event").isNull()
+    rows = rows.withColumns({"_raw": F.when(used, F.col("_snap._ss")).otherwise(F.col("_event.surprise")), "_rawk": F.when(used, F.col("_snap._sk")).otherwise(F.col("_event.kl")), "snapshot_track_used": used.cast("int")})
+    any_row = guidance.groupBy("ticker").agg(F.lit(0).alias("_any"))
+    guided = events.groupBy("ticker").agg(F.lit(1).alias("_guided"))
     rows = rows.join(guided, "ticker", "left").join(any_row, "ticker", "left")
-    frame = DAILY.so_far if pit_half_life else DAILY.whole
-    both = F.col("_abs").isNotNull() & F.col("_before").isNotNull()
-    x, y = F.when(both, F.col("_before")), F.when(both, F.col("_abs"))
-    rho = S.div(F.covar_samp(x, y).over(frame), F.stddev_samp(x).over(frame) * F.stddev_samp(y).over(frame))
-    rho = F.when((F.count("_abs").over(frame) >= 8) & F.col("_guided").isNotNull(), rho)
-    usable = (rho > 0) & (rho < 1)
-    rows = rows.withColumns({"measured_half_life": F.when(usable, math.log(2) / -F.ln(F.when(usable, rho))).otherwise(HALF_LIFE), "half_life_imputed": F.coalesce(F.when(usable, 0), F.lit(1))})
-    return rows.select(*KEY, "fundamental_surprise", "kl_surprise_bits", "measured_half_life", F.coalesce("confidence", F.lit(CONFIDENCE)).alias("fundamental_confidence"), F.col("velocity").alias("guidance_range_velocity"), F.coalesce("_any", F.lit(1)).alias("guidance_absent"), "snapshot_track_used", "half_life_imputed")
-
-
-def microstructure(days: DataFrame, micro: DataFrame) -> DataFrame:
-    m = micro.withColumn("date", S.as_date("date"))
-    m = m.withColumn("liquidity_roc", S.div("dollar_vol", DAILY.mean("dollar_vol", 20)) - 1)
-    named = {"minute_realized_diffusion": "realized_vol", "amihud_illiq": "amihud_illiq", "kyle_lambda": "kyle_lambda", "fdt_deviation": "fdt_deviation", "liquidity_roc": "liquidity_roc"}
-    return days.select(*KEY).join(m.select(*KEY, *[S.clean(v).alias(k) for k, v in named.items()]), KEY, "left")
-
+    return rows.withColumns({"fundamental_confidence": F.coalesce("_event.confidence", F.lit(CONFIDENCE)), "guidance_range_velocity": F.col("_event.velocity"), "guidance_absent": F.coalesce("_any", F.lit(1))})
 
-def options(days: DataFrame, smile: DataFrame, aggregates: DataFrame, micro: DataFrame, pit_rank: bool = False) -> DataFrame:
-    """Smile values, variance premium, open-interest divergence, and how far the smile is from the aggregate volatility.
 
-    That last is a rank over the whole history; ``pit_rank`` ranks among days so far.
-    """
-    s = smile.select("ticker", S.as_date("date").alias("date"), *[S.clean(c).alias(c) for c in ("atm_iv_30d", "skew_25d", "rn_kurtosis", "term_slope")], "n_contracts")
-    m = micro.select("ticker", S.as_date("date").alias("date"), S.clean("realized_vol").alias("_rv"))
-    a = aggregates.select("ticker", S.as_date("date").alias("date"), S.clean("implied_volatility").alias("_agg"), (S.clean("open_int_total_put") - S.clean("open_int_total_call")).alias("_oi"))
+def with_daily(rows: DataFrame, micro: DataFrame, smile: DataFrame, aggregates: DataFrame) -> DataFrame:
+    """Microstructure, smile values, variance premium and the two sides of the open-interest divergence, all of the day itself."""
+    m = micro.withColumn("date", S.day(micro))
+    m = m.withColumn("liquidity_roc", S.div("dollar_vol", DAILY.mean("dollar_vol", 20)) - 1)
+    named = {"minute_realized_diffusion": "realized_vol", "amihud_illiq": "amihud_illiq", "kyle_lambda": "kyle_lambda", "fdt_deviation": "fdt_deviation", "liquidity_roc": "liquidity_roc"}
+    s = smile.select("ticker", S.day(smile).alias("date"), *[S.clean(c).alias(c) for c in ("atm_iv_30d", "skew_25d", "rn_kurtosis", "term_slope")], "n_contracts")
+    a = aggregates.select("ticker", S.day(aggregates).alias("date"), S.clean("implied_volatility").alias("_agg"), (S.clean("open_int_total_put") - S.clean("open_int_total_call")).alias("_oi"))
     a = a.withColumn("_doi", DAILY.change("_oi"))
-    a = a.withColumn("_push", S.div("_doi", DAILY.std("_doi", 20) + 1e-9))
-    rows = days.select(*KEY, "spot").withColumn("_fill", DAILY.ffill("spot"))
-    rows = rows.withColumn("_way", F.signum(DAILY.pct_change("_fill"))).join(s, KEY, "left").join(m, KEY, "left").join(a, KEY, "left")
-    rows = rows.withColumns({"_gap": F.col("_push") - F.col("_way"), "_err": F.abs(F.col("atm_iv_30d") - F.col("_agg"))})
-    rank = DAILY.rank_pct_so_far("_err") if pit_rank else DAILY.rank_pct("_err")
-    return rows.select(*KEY, F.col("atm_iv_30d").alias("atm_iv"), "skew_25d", "rn_kurtosis", "term_slope", (F.col("atm_iv_30d") * F.col("atm_iv_30d") - F.col("_rv") * F.col("_rv")).alias("variance_risk_premium"), (F.col("n_contracts") < 10).cast("int").alias("options_thin_chain"), DAILY.z("_gap", 252, 60).alias("oi_divergence"), rank.alias("regime_calib_error_quantile"))
+    a = a.select(*KEY, "_agg", S.div("_doi", DAILY.std("_doi", 20) + 1e-9).alias("_push"))
+    rows = rows.join(m.select(*KEY, *[S.clean(v).alias(k) for k, v in named.items()]), KEY, "left").join(s, KEY, "left").join(a, KEY, "left")
+    iv, rv = F.col("atm_iv_30d"), F.col("minute_realized_diffusion")
+    return rows.withColumns({"_err": F.abs(iv - F.col("_agg")), "atm_iv": iv, "variance_risk_premium": iv * iv - rv * rv, "options_thin_chain": (F.col("n_contracts") < 10).cast("int")})
 
 
-def macro(days: DataFrame, caps: DataFrame, treasury: DataFrame, inflation: DataFrame, funding: DataFrame) -> DataFrame:
-    """Macro series on each ticker's own days, carried forward; the few rows per day are joined once by date."""
-    day = lambda df, **cols: df.select(S.as_date("date").alias("date"), *[c.alias(n) for n, c in cols.items()])
+def with_macro(rows: DataFrame, treasury: DataFrame, inflation: DataFrame, funding: DataFrame) -> DataFrame:
+    """Macro series on each ticker's own days; the one row per day goes to every executor."""
+    day = lambda df, **cols: df.select(S.day(df).alias("date"), *[c.alias(n) for n, c in cols.items()])
     t = day(treasury, _y10=S.clean("yield_10_year"))
     i = day(inflation, _infl=S.clean("forward_years_5_to_10"))
     f = day(funding, _fund=S.clean("financial_commercial_paper_90d_rate") - S.clean("effective_fed_funds_rate")).filter("_fund is not null")
     series = t.join(i, "date", "full").join(f, "date", "full")
-    rows = A.exact_then_ffill(days.select(*KEY), days.select("ticker", "date").join(series, "date"), "date", ["_y10", "_infl", "_fund"], "ticker")
-    rows = rows.join(caps.select(*KEY, "mcap"), KEY, "left").withColumn("_cap", S.ln("mcap"))
-    return rows.select(*KEY, F.col("_fund").alias("funding_stress"), F.col("_infl").alias("inflation_expectation"), (F.col("_y10") * F.col("_fund")).alias("treasury_funding_interact"), (DAILY.z("_cap", 252, 60) * DAILY.change("_y10")).alias("mktcap_duration_interact"))
+    return rows.join(F.broadcast(series), "date", "left").withColumn("_cap", S.ln("cur_mkt_cap"))
 
 
-def report_clock(days: DataFrame, filings: DataFrame) -> DataFrame:
-    """Days to the expected next report: the last filing seen plus the median gap so far (91 days until three filings)."""
-    f = filings.filter("filing_date is not null").select("ticker", S.as_date("filing_date").alias("filed"))
+def expected_reports(filings: DataFrame) -> DataFrame:
+    """Of each filing day, when the next report is expected: after the median gap so far (91 days until three filings)."""
+    f = filings.filter("filing_date is not null").select("ticker", S.day(filings, "filing_date").alias("filed"))
     w = Series.of("ticker", ("filed", "_n"))
     f = f.withColumn("_n", F.row_number().over(Series.of("ticker", "filed").window))
     f = f.withColumn("_gap", F.datediff("filed", w.lag("filed")).cast("double"))
     gap = F.when(F.col("_n") >= 3, w.expanding_median("_gap")).otherwise(F.lit(float(DEFAULT_GAP)))
     f = f.withColumn("_next", F.date_add("filed", S.half_even(gap).cast("int")))
-    f = f.groupBy("ticker", "filed").agg(F.max_by("_next", "_n").alias("_next"))
-    rows = A.asof_join(days.select(*KEY), f, "ticker", "date", right_on="filed", columns=["_next"])
+    return f.groupBy("ticker", "filed").agg(F.max_by("_next", "_n").alias("_next"))
+
+
+def report_clock(days: DataFrame, filings: DataFrame) -> DataFrame:
+    """Days to the expected next report, by the last filing seen."""
+    rows = A.asof_join(days.select(*KEY), expected_reports(filings), "ticker", "date", right_on="filed", columns=["_next"])
     return rows.select(*KEY, F.datediff("_next", "date").alias("days_to_next_report"), F.datediff(S.next_opex("date"), F.col("date")).alias("days_to_opex"))
 
 
-def build(panel, tickers=None, start="2014-01-01", end=None, audit: bool = False, pit_only: bool = False) -> DataFrame:
+#: What the one pass over a ticker's rows takes, and gives.
+TAKEN = [*(f"_l_{c}" for c in RATIOS), "_sales", "_push", "spot", "_err", "_cap", "_raw", "_rawk", "_y10", "_infl", "_fund"]
+GIVEN = [*GAPS, "growth_kalman_update", "oi_divergence", "regime_calib_error_quantile", "fundamental_surprise", "kl_surprise_bits", "_rho_size", "funding_stress", "inflation_expectation", "treasury_funding_interact", "mktcap_duration_interact"]
+
+
+def _passed(pit_only: bool):
+    """All that hangs on a ticker's earlier rows.
+
+    The half-life's lag-one correlation of absolute surprises and the rank of the
+    calibration error are over all days of a ticker, which looks ahead;
+    ``pit_only`` uses the days so far only.
+    """
+
+    def f(*taken):
+        *logs, sales, push, spot, err, cap, raw, rawk, y10, infl, fund = taken
+        filled = K.ffill(spot)
+        before = K.lag(filled)
+        way = np.sign(np.where(before != 0, filled / before - 1, np.nan))
+        y10, infl, fund = K.ffill(y10), K.ffill(infl), K.ffill(fund)
+        rank = K.rank_pct_so_far(err) if pit_only else K.rank_pct(err)
+        rho = K.persistence(np.abs(raw), pit_only)
+        return *_gaps(*logs), K.innovations(sales), K.z(push - way), rank, K.ffill(raw), K.ffill(rawk), rho, fund, infl, y10 * fund, K.z(cap) * (y10 - K.lag(y10))
+
+    return f
+
+
+def build(panel, tickers=None, start="2014-01-01", end=None, audit: bool = False, pit_only: bool = False, statistics: bool = True) -> DataFrame:
     """The whole vector; ``panel`` maps a panel's name to its DataFrame.
 
     ``pit_only`` replaces the two columns that look ahead by their safe variants.
+    Rows stay with their ticker from the first panel to the last: what was known
+    is one union and one window, panels of the day are joined to it in place, and
+    all long windows are one pass. Without ``statistics`` the columns of that pass
+    are left out.
     """
     days = base(panel("stocks_daily"), tickers, start, end)
-    caps = valuation(days, panel("valuation_weekly"))
+    # A join by ticker and day may use rows that lie by ticker; else each shuffles all rows anew.
+    days.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     filings = panel("report_calendar_us")
     known = actuals_known(panel("fundamentals_actuals"), filings)
     estimates = R.union_by_name(panel("fundamentals_estimates_hist"), panel("fundamentals_estimates_recent"))
-    blocks = [
-        caps,
-        fundamentals(days, known, caps),
-        information(days, panel("guidance_all"), known, estimates, pit_only),
-        microstructure(days, panel("microstructure_daily")),
-        options(days, panel("options_smile_daily"), panel("options_agg_daily"), panel("microstructure_daily"), pit_only),
-        macro(days, caps, panel("macro_treasury_yields"), panel("macro_inflation_expectations"), panel("macro_funding_conditions")),
-        report_clock(days, filings),
-    ]
-    out = days
-    for b in blocks:
-        out = out.join(b, KEY, "left")
-    out = out.withColumn("spread_filtered", F.lit(1))
-    return out.select(*KEY, "spot", *NUMERIC, *CLOCKS, *FLAGS, *(["actuals_date"] if audit else []))
+    guidance = panel("guidance_all")
+    events = guidance_events(guidance, known).withColumnRenamed("date", "event")
+    snaps = snapshot_events(known, estimates).select("ticker", "asof", F.col("period").alias("_sp"), F.col("surprise").alias("_ss"), F.col("kl").alias("_sk"))
+    past = {
+        "_week": (_weekly(panel("valuation_weekly")), "date", list(WEEKLY)),
+        "_known": (known.withColumnRenamed("date", "period_end"), "asof", ["period_end", "asof", "fcf", "sales"]),
+        "_event": (events, "event", ["event", "mid", "confidence", "velocity", "surprise", "kl"]),
+        "_snap": (snaps, "asof", ["_sp", "asof", "_ss", "_sk"]),
+        "_clock": (expected_reports(filings), "filed", ["_next"]),
+    }
+    rows = A.asof_many(days, past, "ticker", "date", apart=["_week"])
+    rows = rows.withColumns({c: F.col(f"_week.{c}") for c in WEEKLY})
+    rows = with_fundamentals(rows)
+    rows = with_information(rows, guidance, events)
+    rows = with_daily(rows, panel("microstructure_daily"), panel("options_smile_daily"), panel("options_agg_daily"))
+    rows = with_macro(rows, panel("macro_treasury_yields"), panel("macro_inflation_expectations"), panel("macro_funding_conditions"))
+    rows = rows.withColumns({"days_to_next_report": F.datediff("_clock._next", "date"), "days_to_opex": F.datediff(S.next_opex("date"), F.col("date"))})
+    names = [*NUMERIC, *CLOCKS, *FLAGS, *(["actuals_date"] if audit else [])]
+    if statistics:
+        rows = rows.withColumns({f"_l_{c}": S.ln(c) for c in RATIOS})
+        rows = rows.select(*dict.fromkeys([*KEY, "spot", "_guided", *[c for c in names if c in rows.columns], *TAKEN]))
+        rows = K.by_group(rows, "ticker", "date", TAKEN, GIVEN, _passed(pit_only))
+        rho = F.when(F.col("_guided").isNotNull(), F.col("_rho_size"))
+        usable = (rho > 0) & (rho < 1)
+        rows = rows.withColumns({"measured_half_life": F.when(usable, math.log(2) / -F.ln(F.when(usable, rho))).otherwise(HALF_LIFE), "half_life_imputed": F.coalesce(F.when(usable, 0), F.lit(1))})
+        rows = rows.withColumns({"cornish_fisher_gap": _expansion(), "mean_reversion_speed": _reversion()})
+    rows = rows.withColumn("spread_filtered", F.lit(1))
+    # Rows without a ticker belong to no panel.
+    known_ticker = lambda c: F.col(c) if c == "spread_filtered" else F.when(F.col("ticker").isNotNull(), F.col(c)).alias(c)
+    return rows.select(*KEY, "spot", *[known_ticker(c) for c in names if c in rows.columns])
 
 
 def leaks(vector: DataFrame) -> DataFrame:
