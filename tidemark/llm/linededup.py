@@ -53,9 +53,9 @@ _MARKS = np.random.default_rng(6).integers(1, 2**64, size=SEGMENTS + 1, dtype=np
 
 
 class Lines:
-    """The lines of a group: document, byte range, tokens, leaf, and template keys (0: none)."""
+    """The lines of a group: document, byte range, tokens, leaf, and template keys (0: none); ``whole``: of keys only the one of all tokens."""
 
-    def __init__(self, group: tk.Group):
+    def __init__(self, group: tk.Group, whole: bool = False):
         spans = tk.words(group, _LINE)
         w = tk.words(group)
         h = tk.word_hashes(w)
@@ -69,6 +69,13 @@ class Lines:
         line = np.repeat(np.arange(n), self.tokens)
         place = np.arange(len(h)) - np.repeat(first, self.tokens)
         each = tk.mix(h + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        self.usable = self.tokens > 0
+        if whole:
+            total = np.zeros(n, dtype=np.uint64)
+            if len(each):
+                total[self.usable] = np.add.reduceat(each, first[self.usable])
+            self.keys = tk.mix(total + self.tokens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + _MARKS[0])[:, None]
+            return
         rest = np.maximum(self.tokens[line] - LEAD, 1)
         part = np.where(place < LEAD, 0, 1 + (place - LEAD) * SEGMENTS // rest)
         sums = np.zeros((n, SEGMENTS + 1), dtype=np.uint64)
@@ -89,7 +96,6 @@ class Lines:
         self.keys = np.stack([tk.mix(whole + _MARKS[0]), *(tk.mix(whole - sums[:, j] + _MARKS[j]) for j in range(1, SEGMENTS + 1))], axis=1)
         # A run may vary only if it has tokens and at least four others stay.
         self.keys[:, 1:][(sizes[:, 1:] == 0) | (self.tokens[:, None] - sizes[:, 1:] <= LEAD)] = 0
-        self.usable = self.tokens > 0
 
 
 KEY = ["_k", "_j"]
@@ -148,12 +154,14 @@ def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     # The template of all tokens fixes the most words.
     leaves = checkpoint(parsed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.max("fixed0").alias("fixed")).filter(F.col("n") >= needed).select("leaf"))
     each = F.array(*[F.struct(F.col(f"key{j}").alias("key"), F.col(f"fixed{j}").alias("fixed"), F.getbit("once", F.lit(j)).alias("once")) for j in PLACES])
-    lines = checkpoint(parsed.join(leaves, "leaf").select(*KEY, F.col("key0").alias("line"), F.inline(each)).filter("key <> 0"))
+    # Written by line: a row for each key, as read from there, would be five times as much to write.
+    kept = checkpoint(parsed.join(leaves, "leaf").drop("leaf"))
     discard(parsed, leaves)
+    lines = kept.select(*KEY, F.col("key0").alias("line"), F.inline(each)).filter("key <> 0")
     # Written before they are joined, so that a key with very many rows can be split in the join.
     hot = checkpoint(lines.groupBy("key").agg(F.sum("once").alias("n"), F.max("fixed").alias("fixed")).filter(F.col("n") >= needed).select("key"))
     met = checkpoint(lines.join(hot, "key").select(*KEY, "line", "key", "fixed"))
-    discard(lines, hot)
+    discard(kept, hot)
     votes = met.select(*KEY, "key", "fixed").join(_classes(docs, met, doc_id, text), KEY)
     final = checkpoint(votes.groupBy("key").agg(F.countDistinct("class").alias("n"), F.max("fixed").alias("fixed")).filter(F.col("n") >= needed).select("key"))
     return met.join(final, "key").groupBy(*KEY).agg(F.collect_set("line").alias("lines"))
@@ -168,7 +176,7 @@ def _cleaned(column: pa.Array, lost: pa.Array) -> tuple[list[str | None], list[i
     if len(at):
         some = column.cast(pa.large_string()).take(pa.array(at))
         for g in tk.groups(some, tk.SMALL_GROUP):
-            x = Lines(g)
+            x = Lines(g, whole=True)
             bounds = np.searchsorted(x.doc, np.arange(len(g) + 1))
             for d in range(len(g)):
                 row = int(at[g.first + d])
