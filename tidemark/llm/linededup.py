@@ -46,7 +46,6 @@ MIN_DOCS = 10
 #: Fixed words over all texts that show a template to recur: three words in MIN_DOCS documents, fifteen in two.
 EVIDENCE = LEAD * MIN_DOCS
 
-_LINE = ~tk.byte_class("0A")
 _DIGIT = tk.byte_class("30-39")
 _VARIABLE = np.uint64(0x5DEECE66D1CE4E5B)
 _MARKS = np.random.default_rng(6).integers(1, 2**64, size=SEGMENTS + 1, dtype=np.uint64)
@@ -56,13 +55,16 @@ class Lines:
     """The lines of a group: document, byte range, tokens, leaf, and template keys (0: none); ``whole``: of keys only the one of all tokens."""
 
     def __init__(self, group: tk.Group, whole: bool = False):
-        spans = tk.words(group, _LINE)
+        breaks = np.flatnonzero(group.data == 10)
+        starts, ends = (np.sort(np.concatenate(x)) for x in ((group.offsets[:-1], breaks + 1), (breaks, group.offsets[1:])))
+        some = starts < ends
+        self.starts, self.ends = starts[some], ends[some]
+        self.doc = np.searchsorted(group.offsets, self.starts, side="right") - 1
         w = tk.words(group)
         h = tk.word_hashes(w)
-        digits = np.append(0, np.cumsum(_DIGIT[w.data]))
-        variable = digits[w.ends] > digits[w.starts]
+        variable = np.zeros(len(h), dtype=bool)
+        variable[np.searchsorted(w.starts, np.flatnonzero(_DIGIT[group.data]), side="right") - 1] = True
         h[variable] = _VARIABLE
-        self.doc, self.starts, self.ends = spans.doc, spans.starts, spans.ends
         first = np.searchsorted(w.starts, self.starts)
         self.tokens = np.searchsorted(w.starts, self.ends) - first
         n = len(self.doc)
@@ -101,7 +103,7 @@ class Lines:
 KEY = ["_k", "_j"]
 #: Flat columns: nested ones take several times as long to write and read.
 PLACES = range(SEGMENTS + 1)
-ROWS = ", ".join(["_k long, _j int, leaf long", *(f"key{j} long" for j in PLACES), *(f"fixed{j} int" for j in PLACES), "once int"])
+ROWS = ", ".join(["_k long, _j int, lo int, leaf long", *(f"key{j} long" for j in PLACES), *(f"fixed{j} int" for j in PLACES), "once int"])
 
 
 def _first_of(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -113,7 +115,7 @@ def _first_of(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each different line of a document, with all its keys (0: none); bit j of ``once`` is set on key j's first line there."""
+    """One row for each line with a word: where it begins in its text's bytes, and all its keys (0: none); bit j of ``once`` is set on key j's first line in the document."""
     names = ROWS.replace(" long", "").replace(" int", "").split(", ")
     for batch in batches:
         for g in tk.groups(tk.text_column(batch, "_text"), tk.SMALL_GROUP):
@@ -121,14 +123,13 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(x.usable)
             if not len(at):
                 continue
-            at = at[_first_of(x.doc[at], x.keys[at, 0])]
             doc, keys, fixed = x.doc[at], x.keys[at], x.fixed[at].astype(np.int32)
             there = keys != 0
             once = np.zeros(keys.shape, dtype=np.int32)
             once[there] = _first_of(np.repeat(doc, there.sum(axis=1)), keys[there])
             bits = (once << np.arange(keys.shape[1], dtype=np.int32)).sum(axis=1, dtype=np.int32)
             row = [batch.column(k).take(pa.array(doc + g.first)) for k in KEY]
-            columns = [tk.signed(x.leaf[at]), *(tk.signed(keys[:, j].copy()) for j in PLACES), *(fixed[:, j].copy() for j in PLACES), bits]
+            columns = [(x.starts[at] - g.offsets[doc]).astype(np.int32), tk.signed(x.leaf[at]), *(tk.signed(keys[:, j].copy()) for j in PLACES), *(fixed[:, j].copy() for j in PLACES), bits]
             yield pa.RecordBatch.from_arrays([*row, *map(pa.array, columns)], names)
 
 
@@ -141,55 +142,55 @@ def _classes(docs: DataFrame, met: DataFrame, doc_id: str, text: str) -> DataFra
     """Rows (_k, _j, class): the near-duplicate class of each row that holds recurring lines."""
     rows = docs.select(F.col(text).alias("_text"), *_row_key(F.col(doc_id), F.col(text))).filter("_text is not null")
     # Ids of their own, as those of documents may be missing or no numbers.
-    rows = checkpoint(rows.join(met.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "_text", *text_keys(F.col("_text")), F.monotonically_increasing_id().alias("_id")))
+    rows = checkpoint(rows.join(met.select(*KEY).distinct().hint("shuffle_hash"), KEY, "left_semi").select(*KEY, "_text", *text_keys(F.col("_text")), F.monotonically_increasing_id().alias("_id")))
     _, classes = neardup.jaccard_classes(rows.select("_id", "_text"), doc_id="_id", text="_text")
     return rows.select(*KEY, "_k1", "_k2").distinct().join(classes.select("_k1", "_k2", F.col("root").alias("class")), ["_k1", "_k2"]).select(*KEY, "class")
 
 
 def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, evidence: int = EVIDENCE) -> DataFrame:
-    """Rows (_k, _j, lines): the keys of the lines that each row loses."""
+    """Rows (_k, _j, lines): where the lines that each row loses begin, in bytes of its text."""
     rows = docs.select(*_row_key(F.col(doc_id), F.col(text)), F.col(text).alias("_text")).filter("_text is not null")
     needed = F.least(F.lit(min_docs), F.greatest(F.lit(2), F.coalesce(F.ceil(F.try_divide(F.lit(evidence), F.col("fixed"))), F.lit(min_docs))))
     parsed = checkpoint(rows.mapInArrow(_parsed, ROWS))
     # The template of all tokens fixes the most words.
-    leaves = checkpoint(parsed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.max("fixed0").alias("fixed")).filter(F.col("n") >= needed).select("leaf"))
+    leaves = checkpoint(parsed.groupBy("leaf").agg(F.sum(F.getbit("once", F.lit(0))).alias("n"), F.max("fixed0").alias("fixed")).filter(F.col("n") >= needed).select("leaf"))
     each = F.array(*[F.struct(F.col(f"key{j}").alias("key"), F.col(f"fixed{j}").alias("fixed"), F.getbit("once", F.lit(j)).alias("once")) for j in PLACES])
     # Written by line: a row for each key, as read from there, would be five times as much to write.
     kept = checkpoint(parsed.join(leaves, "leaf").drop("leaf"))
     discard(parsed, leaves)
-    lines = kept.select(*KEY, F.col("key0").alias("line"), F.inline(each)).filter("key <> 0")
+    lines = kept.select(*KEY, "lo", F.inline(each)).filter("key <> 0")
     # Written before they are joined, so that a key with very many rows can be split in the join.
     hot = checkpoint(lines.groupBy("key").agg(F.sum("once").alias("n"), F.max("fixed").alias("fixed")).filter(F.col("n") >= needed).select("key"))
-    met = checkpoint(lines.join(hot, "key").select(*KEY, "line", "key", "fixed"))
+    met = checkpoint(lines.join(hot, "key").select(*KEY, "lo", "key", "fixed"))
     discard(kept, hot)
     votes = met.select(*KEY, "key", "fixed").join(_classes(docs, met, doc_id, text), KEY)
     final = checkpoint(votes.groupBy("key").agg(F.countDistinct("class").alias("n"), F.max("fixed").alias("fixed")).filter(F.col("n") >= needed).select("key"))
-    return met.join(final, "key").groupBy(*KEY).agg(F.collect_set("line").alias("lines"))
-
-
-def _cleaned(column: pa.Array, lost: pa.Array) -> tuple[list[str | None], list[int], list[int]]:
-    """Of each text: what remains of it, its lines before, and lines dropped."""
-    out = column.to_pylist()
-    n_lines = [x.count("\n") + 1 if x else 0 for x in out]
+    return met.join(final, "key").groupBy(*KEY).agg(F.collect_set("lo").alias("lines"))
+
+
+def _without(text: bytes, lost: list[int]) -> bytes:
+    """A text without the lines that begin at these places."""
+    kept, at, end = [], 0, 0
+    for start in sorted(lost):
+        kept.append(text[at:start])
+        end = text.find(b"\n", start)
+        if end < 0:
+            # The last line takes the break before it along.
+            return b"".join(kept)[:-1]
+        at = end + 1
+    kept.append(text[at:])
+    return b"".join(kept)
+
+
+def _cleaned(column: pa.Array, lost: pa.Array) -> tuple[list[bytes | None], list[int], list[int]]:
+    """Of each text: what remains of it in UTF-8, its lines before, and lines dropped."""
+    out = column.cast(pa.large_binary()).to_pylist()
+    n_lines = [x.count(b"\n") + 1 if x else 0 for x in out]
     n_dropped = [0] * len(out)
-    at = np.flatnonzero(lost.is_valid().to_numpy(zero_copy_only=False))
-    if len(at):
-        some = column.cast(pa.large_string()).take(pa.array(at))
-        for g in tk.groups(some, tk.SMALL_GROUP):
-            x = Lines(g, whole=True)
-            bounds = np.searchsorted(x.doc, np.arange(len(g) + 1))
-            for d in range(len(g)):
-                row = int(at[g.first + d])
-                bad = np.isin(tk.signed(x.keys[:, 0].copy())[bounds[d] : bounds[d + 1]], np.array(lost[row].as_py(), dtype=np.int64)) & x.usable[bounds[d] : bounds[d + 1]]
-                lo, hi = int(g.offsets[d]), int(g.offsets[d + 1])
-                gone = set(x.starts[bounds[d] : bounds[d + 1]][bad].tolist())
-                kept, start = [], lo
-                for piece in g.data[lo:hi].tobytes().split(b"\n"):
-                    if start not in gone:
-                        kept.append(piece)
-                    start += len(piece) + 1
-                out[row] = b"\n".join(kept).decode()
-                n_dropped[row] = len(gone)
+    for row in np.flatnonzero(lost.is_valid().to_numpy(zero_copy_only=False)).tolist():
+        gone = lost[row].as_py()
+        out[row] = _without(out[row], gone)
+        n_dropped[row] = len(gone)
     return out, n_lines, n_dropped
 
 
@@ -204,10 +205,10 @@ def line_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", d
         for batch in batches:
             out, n, gone = _cleaned(batch.column("_text"), batch.column("_lines"))
             if digest:
-                out = [hashlib.sha256((x or "").encode()).hexdigest() for x in out]
+                out = [hashlib.sha256(x or b"").hexdigest() for x in out]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n, type=pa.int64()), pa.array(gone, type=pa.int64()), pa.array(out, type=pa.string())], ["_id", "n_lines", "n_dropped", last])
 
-    return rows.join(lost, KEY, "left").select("_id", "_text", F.col("lines").alias("_lines")).mapInArrow(scan, f"_id {kind}, n_lines long, n_dropped long, {last} string").withColumnRenamed("_id", doc_id)
+    return rows.join(lost.hint("shuffle_hash"), KEY, "left").select("_id", "_text", F.col("lines").alias("_lines")).mapInArrow(scan, f"_id {kind}, n_lines long, n_dropped long, {last} string").withColumnRenamed("_id", doc_id)
 
 
 def without_boilerplate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
@@ -216,7 +217,7 @@ def without_boilerplate(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     names = docs.columns
     # The whole row travels as one struct, so that no column of it can clash with the keys.
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *_row_key(F.col(doc_id), F.col(text)))
-    wide = wide.join(lost, KEY, "left").select("_row", F.col("lines").alias("_lines"))
+    wide = wide.join(lost.hint("shuffle_hash"), KEY, "left").select("_row", F.col("lines").alias("_lines"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

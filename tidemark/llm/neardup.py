@@ -85,11 +85,18 @@ _STEP = 512
 _scratch: dict[int, np.ndarray] = {}
 
 
+def _folded(grams: np.ndarray) -> np.ndarray:
+    return (tk.mix(grams) >> np.uint64(32)).astype(np.uint32)
+
+
 def least_hashes(grams: np.ndarray, n: int) -> np.ndarray:
     """The minimum of each of ``n`` hashes over a set."""
+    return _least(_folded(grams), n)
+
+
+def _least(x: np.ndarray, n: int) -> np.ndarray:
     low = np.full(n, np.iinfo(np.uint32).max, dtype=np.uint32)
     m = _multipliers[:n, None]
-    x = (tk.mix(grams) >> np.uint64(32)).astype(np.uint32)
     if n not in _scratch:
         _scratch[n] = np.empty((n, _STEP), dtype=np.uint32)
     room = _scratch[n]
@@ -99,10 +106,10 @@ def least_hashes(grams: np.ndarray, n: int) -> np.ndarray:
     return low
 
 
-def band_keys(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One key for each band: a hash of the band's number and its minimum hashes."""
-    low = tk.mix(least_hashes(grams, bands * rows).astype(np.uint64)).reshape(bands, rows)
-    return tk.mix((low * tk.GRAM_FACTORS[0][:rows]).sum(axis=1, dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def band_keys(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One key for each band of each text: a hash of the band's number and its minimum hashes (``low``: a row a text)."""
+    low = tk.mix(low.astype(np.uint64)).reshape(-1, bands, rows)
+    return tk.mix((low * tk.GRAM_FACTORS[0][:rows]).sum(axis=2, dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _signed(n: int, bands: int, rows: int):
@@ -111,10 +118,12 @@ def _signed(n: int, bands: int, rows: int):
             keys, have = [], []
             for g in tk.groups(tk.text_column(batch, "_text"), tk.SMALL_GROUP):
                 grams, at = shingles(g, n)
-                for d in range(len(g)):
-                    if at[d] < at[d + 1]:
-                        keys.append(band_keys(grams[at[d] : at[d + 1]], bands, rows))
+                folded = _folded(grams)
                 have.append(np.diff(at) > 0)
+                some = np.flatnonzero(have[-1])
+                for lo in range(0, len(some), 256):
+                    low = np.stack([_least(folded[at[d] : at[d + 1]], bands * rows) for d in some[lo : lo + 256].tolist()])
+                    keys.append(band_keys(low, bands, rows).ravel())
             have = np.concatenate(have) if have else np.zeros(0, dtype=bool)
             flat = tk.signed(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_k1", "_k2")), pa.array(have), tk.list_column(have * bands, pa.array(flat, type=pa.int64()))], ["_id", "_k1", "_k2", "_any", "_bands"])

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 GROUP_BYTES = 1 << 20
 #: For work with a dozen arrays of a value a byte or token, so that these stay in the cache.
 SMALL_GROUP = 1 << 18
+#: Up to so many bytes, a power for each of them is kept (16 bytes a byte).
+FLAT_BYTES = 1 << 21
 
 _rng = np.random.default_rng(20240229)
 #: One random 64-bit value a byte; two tables give two independent hashes.
@@ -145,6 +147,14 @@ def span_hashes(data: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends:
     """A hash of each span; spans don't overlap, and ``inside`` is false between them."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
+    if len(data) <= FLAT_BYTES:
+        # Powers counted from the first byte instead of each span's, which is put right span by span.
+        value = BYTE_VALUES[which][data]
+        value *= powers(len(data), which)[: len(data)]
+        value *= inside
+        total = np.add.reduceat(value, starts)
+        total *= powers(len(data), which, inverse=True)[starts]
+        return mix(total + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     first = int(starts[0])
     at = np.arange(first, len(data), dtype=np.int64)
     at -= np.repeat(starts, np.diff(np.append(starts, len(data))))
