@@ -50,3 +50,12 @@ def test_word_hashes_of_short_and_long_groups(monkeypatch):
 def test_band_keys_of_many_texts_at_once():
     low = np.random.default_rng(2).integers(0, 2**32, size=(5, 12), dtype=np.uint32)
     assert np.array_equal(neardup.band_keys(low, 4, 3), np.concatenate([neardup.band_keys(low[d : d + 1], 4, 3) for d in range(5)]))
+
+
+def test_few_powers_are_kept():
+    assert tk.FLAT_BYTES <= tk.SMALL_GROUP
+    before = {k: len(x) for k, x in tk._powers.items()}
+    long = "word " * (tk.SMALL_GROUP // 4)
+    for g in tk.groups(pa.array([long], pa.large_string())):
+        tk.word_hashes(tk.words(g))
+    assert all(len(x) <= max(before.get(k, 0), 4096) for k, x in tk._powers.items())

@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 GROUP_BYTES = 1 << 20
 #: For work with a dozen arrays of a value a byte or token, so that these stay in the cache.
 SMALL_GROUP = 1 << 18
-#: Up to so many bytes, a power for each of them is kept (16 bytes a byte).
-FLAT_BYTES = 1 << 21
+#: Up to so many bytes, a power for each of them is kept (16 bytes a byte): the size of a small group.
+FLAT_BYTES = SMALL_GROUP
 
 _rng = np.random.default_rng(20240229)
 #: One random 64-bit value a byte; two tables give two independent hashes.
