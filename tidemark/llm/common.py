@@ -80,6 +80,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+#: For rows that are whole texts: bytes of a batch that goes to Python (64 MB otherwise), and rows read from Parquet at a time (4,096 otherwise).
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.parquet.columnarReaderBatchSize": "512"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session takes whole texts in batches of a few MB; what the caller has set stays.
+
+    It stays set, as plans that operators return are run later. All rows pass as before.
+    """
+    for key, value in _BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def few_keys(rows: DataFrame, key: str, size: int) -> DataFrame:
     """The rows whose key's hash is among the smallest, about ``2 * size`` different keys or all of them.
 

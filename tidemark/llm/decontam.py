@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import blocks_for, text_keys
+from .common import blocks_for, small_batches, text_keys
 
 WINDOW = 13
 GRAM = 6
@@ -245,6 +245,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that aren't contaminated, with all their columns as they were."""
+    small_batches(docs.sparkSession)
     indexes = _indexes(benchmark, item_id, item_text, window, gram, block_bytes)
     if len(indexes) == 1:
         index = indexes[0]

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textkit as tk
+from .common import small_batches
 
 PER_LANGUAGE = 1500
 #: Training documents of all languages together; each language gets its share first.
@@ -171,6 +172,7 @@ def language(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lan
 
 def known_language(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
     """The documents whose language is recognised without ambiguity, all columns as they were."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit_language(docs, doc_id=doc_id, text=text, lang=lang, per_language=per_language))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import neardup
 from . import textkit as tk
-from .common import checkpoint, discard, text_keys
+from .common import checkpoint, discard, small_batches, text_keys
 
 LEAD = 3
 SEGMENTS = 4
@@ -149,6 +149,7 @@ def _classes(docs: DataFrame, met: DataFrame, doc_id: str, text: str) -> DataFra
 
 def dropped_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, evidence: int = EVIDENCE) -> DataFrame:
     """Rows (_k, _j, lines): where the lines that each row loses begin, in bytes of its text."""
+    small_batches(docs.sparkSession)
     rows = docs.select(*_row_key(F.col(doc_id), F.col(text)), F.col(text).alias("_text")).filter("_text is not null")
     needed = F.least(F.lit(min_docs), F.greatest(F.lit(2), F.coalesce(F.ceil(F.try_divide(F.lit(evidence), F.col("fixed"))), F.lit(min_docs))))
     parsed = checkpoint(rows.mapInArrow(_parsed, ROWS))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import blocks_for, checkpoint, discard, text_keys
+from .common import blocks_for, checkpoint, discard, small_batches, text_keys
 from .graph import components, forest
 
 N = 5
@@ -250,6 +250,7 @@ def _compared(rows: DataFrame, n: int, threshold: tuple[int, int], block_rows: i
 
 def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """Rows of documents (_id, _k1, _k2, _any), and of distinct texts (_k1, _k2, copies, links, low: its smallest id, root: its class, class_low: that one's smallest id)."""
+    small_batches(docs.sparkSession)
     bands, per = plan_bands(threshold[0] / threshold[1], recall)
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), *text_keys(F.col(text)), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     signed = checkpoint(rows.mapInArrow(_signed(n, bands, per), "_id long, _k1 long, _k2 long, _any boolean, _bands array<long>"))
